@@ -20,6 +20,7 @@ from docvault.operators.ranking import top_per_question
 from docvault.session import lookup_join
 
 PASSAGE = ["coll", "doc", "n"]
+MAX_LISTED_TERMS = 2000
 
 
 def indexed_text(section: Column, text: Column) -> Column:
@@ -57,34 +58,58 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return rows.select("qid", "bit", F.explode("colls").alias("coll"), "t.term", "t.weight")
 
 
-def term_counts(index: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """(coll, doc, n, mask, superseded, length, term, tf), for all terms or those of ``vocabulary``.
+def only_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows of the terms some question asks for.
 
-    Rows are spread by passage, which later steps by passage reuse.
+    Few terms become a literal list, which reaches the Parquet scan and skips row groups of other terms.
+    """
+    wanted = terms.select("term").distinct()
+    listed = [r["term"] for r in wanted.limit(MAX_LISTED_TERMS + 1).collect()]
+    if len(listed) <= MAX_LISTED_TERMS:
+        return rows.filter(F.col("term").isin(listed) if listed else F.lit(False))
+    return lookup_join(rows, wanted, ["term"], "left_semi")
+
+
+def term_counts(index: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Postings (coll, doc, n, mask, superseded, length, term, tf), of all terms or those of ``terms``.
+
+    Rows are spread by passage, which scoring reuses.
     """
     rows = index.select(*PASSAGE, "mask", "superseded", "length", F.explode("tokens").alias("term"))
-    if vocabulary is not None:
-        rows = lookup_join(rows, vocabulary.select("term").distinct(), ["term"], "left_semi")
+    if terms is not None:
+        rows = lookup_join(rows, terms.select("term").distinct(), ["term"], "left_semi")
     return rows.repartition("doc", "n").groupBy(*PASSAGE, "mask", "superseded", "length", "term").agg(
         F.count(F.lit(1)).alias("tf"))
 
 
-def scores(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """BM25 of every permitted passage that shares a term with a question: (qid, coll, doc, n, superseded, bm25)."""
-    counts = term_counts(index, terms)
+def stored_order(postings: DataFrame) -> DataFrame:
+    """Postings in term order for storage; the passage in the range key splits a term found everywhere."""
+    return postings.repartitionByRange("term", F.xxhash64("doc", "n")).sortWithinPartitions("term")
+
+
+def scores(counts: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
+    """BM25 of every permitted passage that shares a term with a question: (qid, coll, doc, n, superseded, bm25).
+
+    ``counts`` are the postings of the question terms in all passages, spread by passage.
+    """
     df = counts.groupBy("coll", "term").agg(F.count(F.lit(1)).alias("df"))
-    stats = collection_stats(index)
     # collections are the library and the live sessions, a capped number
     weighted = (terms.join(df, ["coll", "term"]).join(F.broadcast(stats), "coll")
                 .select("qid", "bit", "coll", "term", "mean_length",
                         (F.col("weight") * idf(F.col("passages"), F.col("df"))).alias("weight")))
-    salt = F.xxhash64("doc", "n")
-    matched = lookup_join(counts, weighted, ["coll", "term"], salt=salt).filter(allows(F.col("mask"), F.col("bit")))
+    matched = lookup_join(counts, weighted, ["coll", "term"], salt=F.xxhash64("doc", "n"))
+    matched = matched.filter(allows(F.col("mask"), F.col("bit")))
     part = F.col("weight") * F.col("tf") * (V.BM25_K1 + 1) / (
         F.col("tf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("length") / F.col("mean_length")))
     return matched.groupBy("qid", *PASSAGE, "superseded").agg(F.round(F.sum(part), 9).alias("bm25")).filter("bm25 > 0")
 
 
 def lexical_top(index: DataFrame, terms: DataFrame, n: int) -> DataFrame:
-    """The best ``n`` passages per question and collection, ``rank`` from 0."""
-    return top_per_question(scores(index, terms), "bm25", n, ["qid", "coll"])
+    """The best ``n`` passages per question and collection, ``rank`` from 0, straight from an index."""
+    return top_per_question(scores(term_counts(index, terms), collection_stats(index), terms), "bm25", n, ["qid", "coll"])
+
+
+def lexical_top_stored(postings: DataFrame, stats: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+    """The same from stored postings: only row groups of question terms are read."""
+    counts = only_terms(postings, terms).repartition("doc", "n")
+    return top_per_question(scores(counts, stats, terms), "bm25", n, ["qid", "coll"])
