@@ -24,6 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/docvault/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -31,7 +35,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     and later scans prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/docvault/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
