@@ -17,7 +17,7 @@ from docvault.functions.text import tokens
 from docvault.operators import glossary
 from docvault.operators.access import allows, role_bit
 from docvault.operators.ranking import top_per_question
-from docvault.session import lookup_join
+from docvault.session import is_small, lookup_join
 
 PASSAGE = ["coll", "doc", "n"]
 MAX_LISTED_TERMS = 2000
@@ -70,14 +70,14 @@ def only_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return lookup_join(rows, wanted, ["term"], "left_semi")
 
 
-def term_counts(index: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+def term_counts(index: DataFrame, terms: DataFrame | None = None, fits: bool | None = None) -> DataFrame:
     """Postings (coll, doc, n, mask, superseded, length, term, tf), of all terms or those of ``terms``.
 
     Rows are spread by passage, which scoring reuses.
     """
     rows = index.select(*PASSAGE, "mask", "superseded", "length", F.explode("tokens").alias("term"))
     if terms is not None:
-        rows = lookup_join(rows, terms.select("term").distinct(), ["term"], "left_semi")
+        rows = lookup_join(rows, terms.select("term").distinct(), ["term"], "left_semi", fits=fits)
     return rows.repartition("doc", "n").groupBy(*PASSAGE, "mask", "superseded", "length", "term").agg(
         F.count(F.lit(1)).alias("tf"))
 
@@ -87,17 +87,18 @@ def stored_order(postings: DataFrame) -> DataFrame:
     return postings.repartitionByRange("term", F.xxhash64("doc", "n")).sortWithinPartitions("term")
 
 
-def scores(counts: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
+def scores(counts: DataFrame, stats: DataFrame, terms: DataFrame, fits: bool) -> DataFrame:
     """BM25 of every permitted passage that shares a term with a question: (qid, coll, doc, n, superseded, bm25).
 
-    ``counts`` are the postings of the question terms in all passages, spread by passage.
+    ``counts`` are the postings of the question terms in all passages, spread by passage; ``fits`` tells whether
+    the question terms are few enough to be broadcast.
     """
     df = counts.groupBy("coll", "term").agg(F.count(F.lit(1)).alias("df"))
     # collections are the library and the live sessions, a capped number
     weighted = (terms.join(df, ["coll", "term"]).join(F.broadcast(stats), "coll")
                 .select("qid", "bit", "coll", "term", "mean_length",
                         (F.col("weight") * idf(F.col("passages"), F.col("df"))).alias("weight")))
-    matched = lookup_join(counts, weighted, ["coll", "term"], salt=F.xxhash64("doc", "n"))
+    matched = lookup_join(counts, weighted, ["coll", "term"], salt=F.xxhash64("doc", "n"), fits=fits)
     matched = matched.filter(allows(F.col("mask"), F.col("bit")))
     part = F.col("weight") * F.col("tf") * (V.BM25_K1 + 1) / (
         F.col("tf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("length") / F.col("mean_length")))
@@ -106,10 +107,12 @@ def scores(counts: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
 
 def lexical_top(index: DataFrame, terms: DataFrame, n: int) -> DataFrame:
     """The best ``n`` passages per question and collection, ``rank`` from 0, straight from an index."""
-    return top_per_question(scores(term_counts(index, terms), collection_stats(index), terms), "bm25", n, ["qid", "coll"])
+    fits = is_small(terms)
+    scored = scores(term_counts(index, terms, fits), collection_stats(index), terms, fits)
+    return top_per_question(scored, "bm25", n, ["qid", "coll"])
 
 
 def lexical_top_stored(postings: DataFrame, stats: DataFrame, terms: DataFrame, n: int) -> DataFrame:
     """The same from stored postings: only row groups of question terms are read."""
     counts = only_terms(postings, terms).repartition("doc", "n")
-    return top_per_question(scores(counts, stats, terms), "bm25", n, ["qid", "coll"])
+    return top_per_question(scores(counts, stats, terms, is_small(terms)), "bm25", n, ["qid", "coll"])

@@ -60,9 +60,23 @@ def _cards(text: str) -> str:
     return f"list_filter(regexp_extract_all({text}, '{_CARD}'), lambda c: {_luhn('c')})"
 
 
+def _replaced(text: str, seen: str, pattern: str, hidden: str, label: str) -> str:
+    """``text`` with matches found in ``seen``, a text of the same length, replaced where ``hidden`` ($m) holds."""
+    found = f"regexp_extract_all({seen}, '{pattern}')"
+    gaps = f"regexp_split_to_array({seen}, '{pattern}')"
+    before = f"CAST(coalesce(list_sum(list_transform({gaps}[1:k - 1] || {found}[1:k - 1], lambda g: length(g))), 0) AS BIGINT)"
+    parts = (f"list_transform(range(1, len({found}) + 1), lambda k: substr({text}, {before} + 1, length({gaps}[k])) || "
+             f"CASE WHEN {hidden.replace('$m', found + '[k]')} THEN '[{label} HIDDEN]' ELSE {found}[k] END)")
+    rest = f"right({text}, length({gaps}[len({found}) + 1]))"
+    return f"CASE WHEN len({found}) = 0 THEN {text} ELSE array_to_string({parts}, '') || {rest} END"
+
+
 def _masked(text: str) -> str:
-    step = (f"list_reduce([{text}] || {_emails(text)}, lambda acc, m: replace(acc, m, '[EMAIL HIDDEN]'))")
-    return f"list_reduce([{step}] || {_cards(text)}, lambda acc, m: replace(acc, m, '[CARD NUMBER HIDDEN]'))"
+    """Word borders are those of all letters, so accented ones stand in as a plain letter when looking for cards."""
+    emails = _replaced(text, text, _EMAIL, f"NOT regexp_matches($m, '{_SHARED}')", "EMAIL")
+    cards = _replaced("x[1]", "x[2]", _CARD, _luhn("$m"), "CARD NUMBER")
+    both = f"list_transform([{emails}], lambda e: [e, regexp_replace(e, '[^\\x00-\\x7F]', 'x', 'g')])"
+    return f"list_transform({both}, lambda x: {cards})[1]"
 
 
 def _injected(text: str) -> str:
@@ -279,15 +293,15 @@ O["role_vocab_size"] = _with(BASE, select=f"SELECT {ROLE_LIST}[r + 1] AS role, t
 O["unknown_terms"] = _with(BASE, PROFILE, select=f"""SELECT qid, {ROLE_LIST}[r + 1] AS role, len(unknown) AS n_unknown, array_to_string(unknown, ' ') AS unknown FROM prof""")
 O["key_terms"] = _with(BASE, PROFILE, select=f"SELECT qid, {ROLE_LIST}[r + 1] AS role, array_to_string(keys, ' ') AS keys, wants_number, n_terms FROM prof")
 
-_HIT_COLUMNS = "SELECT qid, doc, round(bm25, 6) AS bm25, superseded, round(score, 9) AS score, rank FROM hits"
+_HIT_COLUMNS = "SELECT qid, doc, bm25, superseded, score, rank FROM hits"
 O["bm25_top5"] = _with(BASE, _hits("true"), select=_HIT_COLUMNS)
 O["bm25_permission_top5"] = _with(BASE, _hits(PERMITTED), select=_HIT_COLUMNS)
-O["bm25_candidates"] = _with(BASE, _hits(PERMITTED), select="SELECT qid, doc, round(bm25, 6) AS bm25, rk AS rank FROM cand")
+O["bm25_candidates"] = _with(BASE, _hits(PERMITTED), select="SELECT qid, doc, bm25, rk AS rank FROM cand")
 
 
 def _dense(where: str) -> str:
     dot = "list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[])"
-    return f"""SELECT qid, doc, round(dense, 5) AS dense, rank FROM (
+    return f"""SELECT qid, doc, dense, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, doc) - 1 AS rank
       FROM (SELECT q.vec_id AS qid, v.vec_id AS doc, round({dot}, 6) AS dense FROM embeddings q, embeddings v WHERE {where}) QUALIFY rank < 5)"""
 
@@ -333,7 +347,7 @@ cosine AS MATERIALIZED (
 near20 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid, coll ORDER BY dense DESC, doc) - 1 AS rank FROM cosine QUALIFY rank < 20)
 """
 _GLOSS = f"gloss(term, variant) AS (VALUES {_glossary_rows()})"
-O["tfidf_cosine_top5"] = _with(_GLOSS, COSINES, select="SELECT qid, coll, doc, round(dense, 5) AS dense, rank FROM near20 WHERE rank < 5")
+O["tfidf_cosine_top5"] = _with(_GLOSS, COSINES, select="SELECT qid, coll, doc, dense, rank FROM near20 WHERE rank < 5")
 O["rrf_hybrid"] = _with(BASE, COSINES, f"""
 sdf AS (SELECT source, term, count(*) AS df FROM tf GROUP BY ALL),
 sst AS (SELECT source, count(*) AS passages, avg(len(toks)) AS mean_length FROM idx GROUP BY source),
@@ -349,28 +363,32 @@ sfused AS (
   SELECT b.*, l.superseded, round((coalesce(1.0 / (60 + rank_bm25), 0) + coalesce(1.0 / (60 + rank_dense), 0))
     * CASE WHEN l.superseded THEN {V.SUPERSEDED_FACTOR} ELSE 1 END, 12) AS score
   FROM both_ b JOIN lib l USING (doc))""", select="""
-  SELECT qid, coll, doc, rank_bm25, rank_dense, superseded, round(score, 9) AS score, rank FROM (
+  SELECT qid, coll, doc, rank_bm25, rank_dense, superseded, score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) - 1 AS rank FROM sfused QUALIFY rank < 5)""")
 
 ANSWERS = (BASE, _hits(PERMITTED), PROFILE, SUPPORT, SENTENCES)
-O["coverage_scores"] = _with(*ANSWERS, select="SELECT qid, doc, rank, round(support, 6) AS support FROM sup")
-O["evidence_gate"] = _with(*ANSWERS, select="SELECT qid, round(best, 6) AS best, CASE WHEN missing THEN 'unknown_term' ELSE '' END AS note, refuse FROM gate")
-O["sentence_ranking"] = _with(*ANSWERS, select="SELECT qid, doc, rank, pos, md5(sentence) AS sentence_md5, round(score, 6) AS score FROM graded")
+O["coverage_scores"] = _with(*ANSWERS, select="SELECT qid, doc, rank, support FROM sup")
+O["evidence_gate"] = _with(*ANSWERS, select="SELECT qid, best, CASE WHEN missing THEN 'unknown_term' ELSE '' END AS note, refuse FROM gate")
+O["sentence_ranking"] = _with(*ANSWERS, select="SELECT qid, doc, rank, pos, md5(sentence) AS sentence_md5, score FROM graded")
 _CITES = "CASE WHEN refused THEN '' ELSE CAST(cite AS VARCHAR) END"
 O["extractive_answer"] = _with(*ANSWERS, select=f"""SELECT qid, text, refused, {_CITES} AS citations, 'extractive' AS method,
-  round(support, 6) AS support, notes FROM safe""")
+  support, notes FROM safe""")
 
 _REFUSED = f"'{V.REFUSAL['en']}'".replace("couldn't", "couldn''t")
+_LEFT = r"regexp_replace(head, '^\s+', '')"
 VERIFY = f"""
 raws AS (
   SELECT s.qid, s.qid % 7 AS turn, left(t.text, 40) AS head, s.* EXCLUDE (qid, text), s.text AS safe_text,
          (SELECT count(*) FROM sup WHERE sup.qid = s.qid) AS n_src, t.text AS text1, u.text AS text2
   FROM safe s JOIN sup t ON t.qid = s.qid AND t.rank = 0 LEFT JOIN sup u ON u.qid = s.qid AND u.rank = 1),
 fin AS (
-  SELECT *, CASE turn WHEN 0 THEN {_STRIPPED.format('head')} || ' [1].' WHEN 2 THEN {_STRIPPED.format('head')} || ' [' || cite || ']'
-                 WHEN 3 THEN {_STRIPPED.format('head')} || '  [' || cite || ']' WHEN 4 THEN {_STRIPPED.format('head')} || ' 99999 [1]' || CASE WHEN n_src > 1 THEN '[2]' ELSE '' END
+  SELECT *, CASE turn WHEN 0 THEN {_LEFT} || ' [1].' WHEN 2 THEN {_STRIPPED.format('head')} || ' [' || cite || ']'
+                 WHEN 3 THEN {_LEFT} || '  [' || cite || ']' WHEN 4 THEN {_LEFT} || ' 99999 [1]' || CASE WHEN n_src > 1 THEN '[2]' ELSE '' END
                  ELSE '' END AS final
-  FROM raws)
+  FROM raws),
+pooled AS (
+  SELECT fin.*, {_numbers.format("CASE WHEN turn = 0 THEN text1 WHEN turn = 4 THEN text1 || ' ' || coalesce(text2, '') ELSE coalesce(c.text, '') END")} AS pool_numbers
+  FROM fin LEFT JOIN sup c ON c.qid = fin.qid AND c.rank + 1 = cite)
 """
 O["verify_answers"] = _with(*ANSWERS, VERIFY, select=f"""
   SELECT qid,
@@ -378,12 +396,12 @@ O["verify_answers"] = _with(*ANSWERS, VERIFY, select=f"""
     CASE WHEN refused THEN '' WHEN turn IN (1, 5, 6) OR bad THEN CAST(cite AS VARCHAR) WHEN turn = 0 THEN '1'
          WHEN turn = 4 THEN CASE WHEN n_src > 1 THEN '1,2' ELSE '1' END ELSE CAST(cite AS VARCHAR) END AS citations,
     CASE WHEN refused THEN 'llm' WHEN turn IN (1, 5, 6) OR bad THEN 'llm->extractive' ELSE 'llm' END AS method,
-    round(support, 6) AS support,
+    support,
     CASE WHEN turn IN (1, 5, 6) THEN CASE WHEN refused THEN '' ELSE 'model_said_not_found' END
          WHEN refused AND turn IN (2, 3) THEN 'uncited_answer_dropped' WHEN refused THEN 'low_evidence'
          WHEN bad THEN 'unsupported_numbers' ELSE '' END AS notes
-  FROM (SELECT *, len(list_filter({_numbers.format('final')}, lambda x: NOT list_contains({_numbers.format("CASE WHEN turn IN (0) THEN text1 WHEN turn = 4 THEN text1 || ' ' || coalesce(text2, '') ELSE coalesce((SELECT text FROM sup WHERE sup.qid = fin.qid AND sup.rank + 1 = cite), '') END")}, x)
-        AND x <> CAST(CASE WHEN turn IN (0, 4) THEN 1 ELSE coalesce(cite, 0) END AS VARCHAR) AND NOT (turn = 4 AND x = '2' AND n_src > 1))) > 0 AS bad FROM fin)""")
+  FROM (SELECT *, len(list_filter({_numbers.format('final')}, lambda x: NOT list_contains(pool_numbers, x)
+        AND x <> CAST(CASE WHEN turn IN (0, 4) THEN 1 ELSE coalesce(cite, 0) END AS VARCHAR) AND NOT (turn = 4 AND x = '2' AND n_src > 1))) > 0 AS bad FROM pooled)""")
 
 _SHOWN = f"""
 shown AS (SELECT qid, rank, doc, {_masked('text')} AS safe_text, len({_emails('text')}) + len({_cards('text')}) AS hidden FROM sup)

@@ -226,7 +226,7 @@ def role_vocab_size(spark, folder):
 
 
 def _profiles(spark, folder, index=None):
-    vocab = evidence.vocabulary(_index(spark, folder) if index is None else index)
+    vocab = materialise(evidence.vocabulary(_index(spark, folder) if index is None else index), "vocabulary")
     return evidence.question_profiles(benchmark_questions(spark, folder), vocab)
 
 
@@ -255,19 +255,19 @@ def _bm25_hits(spark, folder, index=None, role=None):
 @query
 def bm25_top5(spark, folder):
     hits = _bm25_hits(spark, folder, role="executive")
-    return hits.select("qid", "doc", F.round("bm25", 6).alias("bm25"), "superseded", F.round("score", 9).alias("score"), "rank")
+    return hits.select("qid", "doc", "bm25", "superseded", "score", "rank")
 
 
 @query
 def bm25_permission_top5(spark, folder):
     hits = _bm25_hits(spark, folder)
-    return hits.select("qid", "doc", F.round("bm25", 6).alias("bm25"), "superseded", F.round("score", 9).alias("score"), "rank")
+    return hits.select("qid", "doc", "bm25", "superseded", "score", "rank")
 
 
 @query
 def bm25_candidates(spark, folder):
     words = lexical.lexical_top(_index(spark, folder), lexical.question_terms(benchmark_questions(spark, folder)), 20)
-    return words.select("qid", "doc", F.round("bm25", 6).alias("bm25"), "rank")
+    return words.select("qid", "doc", "bm25", "rank")
 
 
 def _vectors(spark, folder, mask):
@@ -284,7 +284,7 @@ def _vector_questions(spark, folder, bit):
 @query
 def dense_top5(spark, folder):
     hits = dense.dense_top(_vectors(spark, folder, F.lit(1)), _vector_questions(spark, folder, F.lit(1)), 5)
-    return hits.select("qid", "doc", F.round("dense", 5).alias("dense"), "rank")
+    return hits.select("qid", "doc", "dense", "rank")
 
 
 @query
@@ -293,7 +293,7 @@ def dense_permission_top5(spark, folder):
     own = F.expr("shiftleft(1, label)")
     both = own.bitwiseOR(F.expr("shiftleft(1, (label + 1) % 10)"))
     hits = dense.dense_top(_vectors(spark, folder, own), _vector_questions(spark, folder, both), 5)
-    return hits.select("qid", "doc", F.round("dense", 5).alias("dense"), "rank")
+    return hits.select("qid", "doc", "dense", "rank")
 
 
 def _session_cosines(spark, folder, n):
@@ -307,7 +307,7 @@ def _session_cosines(spark, folder, n):
 
 @query
 def tfidf_cosine_top5(spark, folder):
-    return _session_cosines(spark, folder, 5).select("qid", "coll", "doc", F.round("dense", 5).alias("dense"), "rank")
+    return _session_cosines(spark, folder, 5).select("qid", "coll", "doc", "dense", "rank")
 
 
 @query
@@ -321,7 +321,7 @@ def rrf_hybrid(spark, folder):
     words = lexical.lexical_top(by_source, lexical.question_terms(questions), 20)
     near = tfidf.cosine_top(by_source, questions.select("qid", "q", F.col("sid").alias("coll")), 20)
     hits = fusion.final_hits(fusion.fuse(words, near))
-    return hits.select("qid", "coll", "doc", "rank_bm25", "rank_dense", "superseded", F.round("score", 9).alias("score"), "rank")
+    return hits.select("qid", "coll", "doc", "rank_bm25", "rank_dense", "superseded", "score", "rank")
 
 
 # ------------------------------------------------------------------ evidence and answers
@@ -339,25 +339,25 @@ def _supported(spark, folder):
 @query
 def coverage_scores(spark, folder):
     _, supported = _supported(spark, folder)
-    return supported.select("qid", "doc", "rank", F.round("support", 6).alias("support"))
+    return supported.select("qid", "doc", "rank", "support")
 
 
 @query
 def evidence_gate(spark, folder):
     gate = answers.gates(*_supported(spark, folder))
-    return gate.select("qid", F.round("best", 6).alias("best"), F.coalesce("note", F.lit("")).alias("note"), "refuse")
+    return gate.select("qid", "best", F.coalesce("note", F.lit("")).alias("note"), "refuse")
 
 
 @query
 def sentence_ranking(spark, folder):
     _, supported = _supported(spark, folder)
     scored = answers.sentence_scores(supported)
-    return scored.select("qid", "doc", "rank", "pos", F.md5("sentence").alias("sentence_md5"), F.round("score", 6).alias("score"))
+    return scored.select("qid", "doc", "rank", "pos", F.md5("sentence").alias("sentence_md5"), "score")
 
 
 def _flat(answered):
     return answered.select("qid", "text", "refused", F.array_join(F.transform("citations", lambda c: c.cast("string")), ",").alias("citations"),
-                           "method", F.round("support", 6).alias("support"), F.array_join("notes", ",").alias("notes"))
+                           "method", "support", F.array_join("notes", ",").alias("notes"))
 
 
 @query
@@ -524,7 +524,7 @@ def latency_percentiles(spark, folder):
 def hybrid_search(spark, folder):
     library = build_library(library_documents(spark, folder), components=32)
     hits = search(library, benchmark_questions(spark, folder))
-    return hits.select("qid", "doc", "n", "rank_bm25", "rank_dense", F.round("score", 9).alias("score"), "rank")
+    return hits.select("qid", "doc", "n", "rank_bm25", "rank_dense", "score", "rank")
 
 
 @query

@@ -40,20 +40,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core on an input of fewer files than cores; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; reads no more than that many."""
     return df.limit(max_rows + 1).count() <= max_rows
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salt: Column | None = None,
-                salts: int = 32, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+                salts: int = 32, fits: bool | None = None) -> DataFrame:
     """Equi-join a large table with a lookup side whose size is checked first.
 
+    ``fits`` gives the outcome where the caller has already checked a table that bounds the lookup side.
+
     A side of proven size is broadcast, so the large table is not moved. A larger one is joined by
     shuffle; the large side is spread over ``salts`` sub-keys (``salt`` picks one from the row) and the
     lookup side repeated on each, so one hot key never lands in one task.
     """
-    if is_small(small, max_rows):
+    if is_small(small) if fits is None else fits:
         return big.join(F.broadcast(small), keys, how)
     if salt is None:
         return big.join(small, keys, how)

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from docvault import fixed_values as V
 from docvault.functions import pii
-from docvault.session import lookup_join
+from docvault.session import lookup_join, spread
+
+
+KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "benchmark": "item_id", "embeddings": "vec_id"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    found = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(found, KEYS[name]) if name in KEYS else found
 
 
 def _access(source: Column) -> Column:
