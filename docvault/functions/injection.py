@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docvault import fixed_values as V
-from docvault.functions.common import let
+from docvault.functions.common import by_name, let
 from docvault.functions.text import lines, nfkc, normalise_ar, sentences
 
 
@@ -15,6 +15,7 @@ def is_injection(c: Column, fold_width: bool = False) -> Column:
     return normalise_ar(nfkc(c) if fold_width else c).rlike(V.INJECTION)
 
 
+@by_name
 def sanitise(c: Column) -> Column:
     """struct<text, removed>: flagged sentences dropped and counted; clean lines kept as they are."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docvault import fixed_values as V
-from docvault.functions.common import empty_array, let
+from docvault.functions.common import by_name, empty_array, let
 
 SPAN = "STRUCT<start: INT, end: INT, kind: STRING>"
 
@@ -59,6 +59,7 @@ def _of_kind(text: Column, kind: str) -> Column:
     return F.when(_HINTS[kind](text), walked).otherwise(empty_array(SPAN))
 
 
+@by_name
 def spans(text: Column) -> Column:
     """Identifiers in text order. Kinds are tried in precedence order; a later span that overlaps is dropped."""
     found = F.concat(*[_of_kind(text, kind) for kind in V.PII_PATTERNS])

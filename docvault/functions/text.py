@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docvault import fixed_values as V
+from docvault.functions.common import by_name
 
 
 def strip(c: Column) -> Column:
@@ -92,6 +93,7 @@ def _plain_token(t: Column) -> Column:
     return F.when(is_word, t).otherwise(F.replace(t, F.lit(","), F.lit("")))
 
 
+@by_name
 def tokens(c: Column, stem: bool = True, stop: bool = True, fold_width: bool = True) -> Column:
     """Index terms of a text, in order and with repeats.
 
@@ -100,6 +102,7 @@ def tokens(c: Column, stem: bool = True, stop: bool = True, fold_width: bool = T
     return finish_tokens(raw_tokens(c, fold_width), stem, stop)
 
 
+@by_name
 def sentences(c: Column) -> Column:
     """Sentences longer than two characters; a list item stays whole, without its marker."""
 

@@ -67,7 +67,7 @@ def read_documents(documents: DataFrame, requests: DataFrame, contact_docs: list
         ~F.col("uploaded") & F.array_contains("access", F.col("role")))
     found = documents.join(requests, documents["id"] == requests["doc_id"]).filter(mine)
     found = found.withColumn("hide", pii.hidden_spans(
-        pii.spans(F.col("text")), pii.may_see_contacts(F.col("role"), F.col("id").isin(contact_docs))))
+        pii.spans("text"), pii.may_see_contacts(F.col("role"), F.col("id").isin(contact_docs))))
     return found.select(
         "doc_id", "role", "sid", "title", "title_ar", "classification", "owner", "lang", "status", "superseded_by",
         pii.mask(F.col("text"), F.col("hide")).alias("text"), pii.counts(F.col("hide")).alias("masked"),

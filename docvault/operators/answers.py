@@ -18,8 +18,8 @@ def supported_sources(sources: DataFrame, profiles: DataFrame) -> DataFrame:
     """Sources of (qid, rank, doc, title, section, text, superseded, ...) with the question's profile and support."""
     both = sources.join(profiles, "qid")
     tokenised = both.withColumns({
-        "title_tokens": tokens(F.col("title")), "section_tokens": tokens(F.col("section")),
-        "text_tokens": tokens(F.col("text"))})
+        "title_tokens": tokens("title"), "section_tokens": tokens("section"),
+        "text_tokens": tokens("text")})
     have = F.concat("title_tokens", "section_tokens", "text_tokens")
     return tokenised.withColumn("support", F.round(support(F.col("terms"), F.col("key_variants"), have), 9))
 
@@ -37,8 +37,8 @@ def gates(profiles: DataFrame, supported: DataFrame) -> DataFrame:
 def sentence_scores(supported: DataFrame) -> DataFrame:
     """(qid, rank, pos, sentence, doc, superseded, support, score) of sentences that mention a key term."""
     good = supported.filter(F.col("support") >= V.MIN_SUPPORT)
-    rows = good.select("*", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence")).withColumn(
-        "sent_tokens", tokens(F.col("sentence")))
+    rows = good.select("*", F.posexplode(sentences("text")).alias("pos", "sentence")).withColumn(
+        "sent_tokens", tokens("sentence"))
     mentioned = F.concat("title_tokens", "section_tokens", "sent_tokens")
     rows = rows.filter((F.size("key_variants") == 0) | F.arrays_overlap("key_variants", mentioned))
     shared = F.least(F.size(F.array_intersect("pairs", pairs(F.col("sent_tokens")))), F.lit(2))

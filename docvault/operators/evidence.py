@@ -28,7 +28,7 @@ def vocabulary(index: DataFrame, documents: DataFrame | None = None) -> DataFram
     terms = index.select("coll", "mask", F.explode(F.array_distinct("tokens")).alias("term"), F.lit(1).alias("in_passage"))
     if documents is not None:
         titles = documents.select("coll", access_mask(F.col("access")).alias("mask"),
-                                  F.explode(tokens(F.col("title"))).alias("term"), F.lit(0).alias("in_passage"))
+                                  F.explode(tokens("title")).alias("term"), F.lit(0).alias("in_passage"))
         terms = terms.unionByName(titles)
     seen = terms.groupBy("coll", "term").agg(F.sum("in_passage").alias("df"), F.bit_or("mask").alias("mask"))
     stats = F.broadcast(collection_stats(index))  # the library and a capped number of sessions
@@ -68,12 +68,12 @@ def question_profiles(questions: DataFrame, vocab: DataFrame) -> DataFrame:
     has_sid = "sid" in questions.columns
     base = questions.select(
         "qid", "q", "role", (F.col("sid") if has_sid else F.lit(None).cast("string")).alias("sid"),
-        tokens(F.col("q")).alias("own"))
+        tokens("q").alias("own"))
     listed = F.array_distinct("own")
     rows = base.select(
         "qid", "role", "sid",
         F.posexplode(F.filter(listed, lambda t: ~is_digits(t))).alias("pos", "term")
-    ).withColumn("variants", glossary.variants(F.col("term")))
+    ).withColumn("variants", glossary.variants("term"))
     wanted = rows.select("qid", "role", "sid", "pos", F.col("term").alias("own_term"), F.explode("variants").alias("term"))
     wanted = wanted.withColumn("coll", F.explode(F.array_compact(F.array(F.lit("library"), "sid"))))
     terms = wanted.select("coll", "term").distinct()

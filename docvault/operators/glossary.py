@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docvault import fixed_values as V
-from docvault.functions.common import let
+from docvault.functions.common import by_name, let
 from docvault.functions.text import AR_STEM_STEPS
 
 
@@ -66,6 +66,7 @@ def _literal_map(table: dict[str, list[str]]) -> Column:
     return F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), "map<string, array<string>>")
 
 
+@by_name
 def variants(token: Column) -> Column:
     """The token and its translations and synonyms."""
     words, _ = tables()
@@ -73,6 +74,7 @@ def variants(token: Column) -> Column:
     return F.array_union(F.array(token), F.coalesce(known, F.array().cast("array<string>")))
 
 
+@by_name
 def expansion(tokens: Column) -> Column:
     """Translations and synonyms that are not among the tokens themselves, with repeats."""
     words, phrases = tables()

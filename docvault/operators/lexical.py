@@ -49,8 +49,8 @@ def question_terms(questions: DataFrame) -> DataFrame:
     colls = [F.lit("library")] + ([F.col("sid")] if "sid" in questions.columns else [])
     base = questions.select(
         "qid", role_bit(F.col("role")).alias("bit"), F.array_compact(F.array(*colls)).alias("colls"),
-        tokens(F.col("q")).alias("own"))
-    both = base.withColumn("extra", F.array_distinct(glossary.expansion(F.col("own"))))
+        tokens("q").alias("own"))
+    both = base.withColumn("extra", F.array_distinct(glossary.expansion("own")))
     weighted = F.concat(
         F.transform(F.array_distinct("own"), lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("weight"))),
         F.transform("extra", lambda t: F.struct(t.alias("term"), F.lit(V.EXPANSION_WEIGHT).alias("weight"))))

@@ -26,7 +26,7 @@ def responses(profiles: DataFrame, sources: DataFrame, answers: DataFrame,
     contact = F.col("doc").isin(contact_docs)
     shown = shown.withColumns({
         "n": F.col("rank") + 1, "cited": F.array_contains("citations", F.col("rank") + 1),
-        "hide": pii.hidden_spans(pii.spans(F.col("text")), pii.may_see_contacts(F.col("role"), contact))})
+        "hide": pii.hidden_spans(pii.spans("text"), pii.may_see_contacts(F.col("role"), contact))})
     shown = shown.withColumns({"safe": pii.mask(F.col("text"), F.col("hide")), "masked": pii.counts(F.col("hide"))})
     source = F.struct("n", "doc", "title", "section", F.col("safe").alias("text"), "cited", "superseded",
                       "classification", "uploaded", "injection_removed", "masked")
@@ -39,7 +39,7 @@ def responses(profiles: DataFrame, sources: DataFrame, answers: DataFrame,
     docs = F.coalesce("cited_docs", F.array().cast("array<string>"))
     only_contacts = (F.size(docs) > 0) & (F.size(F.array_except(docs, F.array(*[F.lit(d) for d in contact_docs]))) == 0)
     rows = rows.withColumn("hide", pii.hidden_spans(
-        pii.spans(F.col("text")), pii.may_see_contacts(F.col("role"), only_contacts)))
+        pii.spans("text"), pii.may_see_contacts(F.col("role"), only_contacts)))
     return rows.select(
         "qid", F.col("q").alias("question"), "role", "sid", "lang",
         pii.mask(F.col("text"), F.col("hide")).alias("answer"), "refused", "citations", "method",

@@ -42,13 +42,13 @@ def _index(spark: SparkSession, folder: str) -> DataFrame:
 # ------------------------------------------------------------------ text
 @query
 def token_counts(spark, folder):
-    rows = _docs(spark, folder).select("doc_id", T.tokens(F.col("text")).alias("t"))
+    rows = _docs(spark, folder).select("doc_id", T.tokens("text").alias("t"))
     return rows.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
 @query
 def term_df_topn(spark, folder):
-    rows = _docs(spark, folder).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    rows = _docs(spark, folder).select("doc_id", F.explode(T.tokens("text")).alias("term"))
     per_doc = rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     counts = per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
     return counts.orderBy(F.desc("df"), "term").limit(50)
@@ -69,7 +69,7 @@ def number_tokens(spark, folder):
 
 @query
 def sentence_counts(spark, folder):
-    rows = _docs(spark, folder).select("doc_id", T.sentences(F.col("text")).alias("s"))
+    rows = _docs(spark, folder).select("doc_id", T.sentences("text").alias("s"))
     lengths = F.transform("s", F.length)
     return rows.select("doc_id", F.size("s").alias("n_sentences"), F.coalesce(F.array_max(lengths), F.lit(0)).alias("longest"),
                        F.aggregate(lengths, F.lit(0), lambda a, x: a + x).alias("chars"))
@@ -77,7 +77,7 @@ def sentence_counts(spark, folder):
 
 @query
 def bigram_counts(spark, folder):
-    rows = _docs(spark, folder).select("doc_id", T.tokens(F.col("text")).alias("t"))
+    rows = _docs(spark, folder).select("doc_id", T.tokens("text").alias("t"))
     return rows.select("doc_id", F.size(T.pairs(F.col("t"))).alias("n_pairs"))
 
 
@@ -95,21 +95,21 @@ def question_ids(spark, folder):
 
 @query
 def question_expansion(spark, folder):
-    rows = table(spark, folder, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("own"))
-    extra = rows.select("conv_id", "turn", F.explode(glossary.expansion(F.col("own"))).alias("variant"))
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", T.tokens("text").alias("own"))
+    extra = rows.select("conv_id", "turn", F.explode(glossary.expansion("own")).alias("variant"))
     return extra.groupBy("conv_id", "turn", "variant").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ------------------------------------------------------------------ personal data
 @query
 def pii_counts(spark, folder):
-    rows = _docs(spark, folder).select("doc_id", pii.spans(F.col("text")).alias("found"))
+    rows = _docs(spark, folder).select("doc_id", pii.spans("text").alias("found"))
     return rows.select("doc_id", *[pii.count_of(F.col("found"), k).alias(k) for k in V.PII_PATTERNS])
 
 
 @query
 def pii_summary(spark, folder):
-    rows = _docs(spark, folder).select(F.explode(pii.spans(F.col("text"))).alias("s"))
+    rows = _docs(spark, folder).select(F.explode(pii.spans("text")).alias("s"))
     return rows.groupBy(F.col("s.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -122,7 +122,7 @@ def pii_redacted(spark, folder):
 @query
 def pii_role_visibility(spark, folder):
     roles = F.explode(F.array(*[F.lit(r) for r in V.ROLES]))
-    rows = _docs(spark, folder).select("source", pii.spans(F.col("text")).alias("found")).select("*", roles.alias("role"))
+    rows = _docs(spark, folder).select("source", pii.spans("text").alias("found")).select("*", roles.alias("role"))
     ok = pii.may_see_contacts(F.col("role"), F.col("source").isin("src3", "src7"))
     rows = rows.select("role", F.size(pii.hidden_spans(F.col("found"), ok)).alias("h"), F.size("found").alias("f"))
     return rows.groupBy("role").agg(F.sum("h").alias("hidden"), F.sum(F.col("f") - F.col("h")).alias("visible"))
@@ -161,7 +161,7 @@ def injection_scan(spark, folder):
 
 @query
 def sanitise_lines(spark, folder):
-    rows = _docs(spark, folder).select("doc_id", injection.sanitise(F.col("text")).alias("s"))
+    rows = _docs(spark, folder).select("doc_id", injection.sanitise("text").alias("s"))
     return rows.select("doc_id", F.md5("s.text").alias("clean_md5"), "s.removed")
 
 
@@ -389,7 +389,7 @@ def _responses(spark, folder):
     profiles, supported = _supported(spark, folder)
     answered = materialise(answers.extractive_answers(profiles, supported), "answers")
     sources = supported.select("qid", "rank", "doc", "title", "section", "text", "superseded").withColumns({
-        "classification": F.lit("Internal"), "uploaded": F.lit(False), "clean": injection.sanitise(F.col("text"))})
+        "classification": F.lit("Internal"), "uploaded": F.lit(False), "clean": injection.sanitise("text")})
     sources = sources.withColumns({"text": F.col("clean.text"), "injection_removed": F.col("clean.removed")}).drop("clean")
     return responses.responses(profiles, sources, answered)
 

@@ -50,7 +50,7 @@ def parse_documents(raw: DataFrame) -> DataFrame:
         value("lang", F.lit("en")).alias("lang"),
         strip(F.col("body")).alias("text"),
         F.lit(False).alias("uploaded"),
-        pii.spans(F.col("body")).alias("found"),
+        pii.spans("body").alias("found"),
         value("status", F.lit("current")).alias("status"),
         value("superseded_by", F.lit("")).alias("superseded_by"),
         F.lit(LIBRARY).alias("coll"),

@@ -36,7 +36,7 @@ def library_documents(spark: SparkSession, folder: str, with_pii: bool = False)
     groups = docs.groupBy("digest").agg(F.max("doc_id").alias("newest"), F.count(F.lit(1)).alias("c"))
     docs = lookup_join(docs, groups.filter("c > 1").select("digest", "newest"), ["digest"], "left", salt=F.xxhash64("doc_id"))
     status = F.when(F.col("newest") > F.col("doc_id"), "superseded").otherwise("current")
-    found = pii.counts(pii.spans(F.col("text"))) if with_pii else F.lit(None).cast("map<string,int>")
+    found = pii.counts(pii.spans("text")) if with_pii else F.lit(None).cast("map<string,int>")
     return docs.select(
         F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("doc "), "doc_id").alias("title"), F.lit("").alias("title_ar"),
         _access(F.col("source")).alias("access"), F.lit("Internal").alias("classification"), F.col("source").alias("owner"),
