@@ -1,6 +1,6 @@
 import random
+from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from docvault.operators import limits, sessions
@@ -43,7 +43,7 @@ def test_streamed_verdicts_equal_batch(spark, tmp_path):
 
 
 def at(minute):
-    return pd.Timestamp("2024-05-01 10:00:00") + pd.Timedelta(minutes=minute)
+    return datetime(2024, 5, 1, 10) + timedelta(minutes=minute)
 
 
 def test_upload_cap_expiry_and_deletion(spark):
