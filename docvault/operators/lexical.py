@@ -73,12 +73,14 @@ def only_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
 def term_counts(index: DataFrame, terms: DataFrame | None = None, fits: bool | None = None) -> DataFrame:
     """Postings (coll, doc, n, mask, superseded, length, term, tf), of all terms or those of ``terms``.
 
-    Rows are spread by passage, which scoring reuses.
+    The postings of given terms are spread by passage, which scoring reuses; all postings are counted inside
+    each task first.
     """
     rows = index.select(*PASSAGE, "mask", "superseded", "length", F.explode("tokens").alias("term"))
     if terms is not None:
         rows = lookup_join(rows, terms.select("term").distinct(), ["term"], "left_semi", fits=fits)
-    return rows.repartition("doc", "n").groupBy(*PASSAGE, "mask", "superseded", "length", "term").agg(
+        rows = rows.repartition("doc", "n")
+    return rows.groupBy(*PASSAGE, "mask", "superseded", "length", "term").agg(
         F.count(F.lit(1)).alias("tf"))
 
 
