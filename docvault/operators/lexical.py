@@ -89,17 +89,23 @@ def stored_order(postings: DataFrame) -> DataFrame:
     return postings.repartitionByRange("term", F.xxhash64("doc", "n")).sortWithinPartitions("term")
 
 
-def scores(counts: DataFrame, stats: DataFrame, terms: DataFrame, fits: bool) -> DataFrame:
+def rarity(index: DataFrame, terms: DataFrame, stats: DataFrame, fits: bool) -> DataFrame:
+    """(coll, term, idf) of the question terms, counted in each task first."""
+    held = index.select("coll", F.explode(F.array_distinct("tokens")).alias("term"))
+    held = lookup_join(held, terms.select("term").distinct(), ["term"], "left_semi", fits=fits)
+    df = held.groupBy("coll", "term").agg(F.count(F.lit(1)).alias("df"))
+    return df.join(F.broadcast(stats), "coll").select("coll", "term", idf(F.col("passages"), F.col("df")).alias("idf"))
+
+
+def scores(counts: DataFrame, rare: DataFrame, stats: DataFrame, terms: DataFrame, fits: bool) -> DataFrame:
     """BM25 of every permitted passage that shares a term with a question: (qid, coll, doc, n, superseded, bm25).
 
-    ``counts`` are the postings of the question terms in all passages, spread by passage; ``fits`` tells whether
-    the question terms are few enough to be broadcast.
+    ``counts`` are the postings of the question terms in all passages, spread by passage; ``rare`` holds their
+    (coll, term, idf); ``fits`` tells whether the question terms are few enough to be broadcast.
     """
-    df = counts.groupBy("coll", "term").agg(F.count(F.lit(1)).alias("df"))
     # collections are the library and the live sessions, a capped number
-    weighted = (terms.join(df, ["coll", "term"]).join(F.broadcast(stats), "coll")
-                .select("qid", "bit", "coll", "term", "mean_length",
-                        (F.col("weight") * idf(F.col("passages"), F.col("df"))).alias("weight")))
+    weighted = (terms.join(rare.select("coll", "term", "idf"), ["coll", "term"]).join(F.broadcast(stats), "coll")
+                .select("qid", "bit", "coll", "term", "mean_length", (F.col("weight") * F.col("idf")).alias("weight")))
     matched = lookup_join(counts, weighted, ["coll", "term"], salt=F.xxhash64("doc", "n"), fits=fits)
     matched = matched.filter(allows(F.col("mask"), F.col("bit")))
     part = F.col("weight") * F.col("tf") * (V.BM25_K1 + 1) / (
@@ -109,12 +115,13 @@ def scores(counts: DataFrame, stats: DataFrame, terms: DataFrame, fits: bool) ->
 
 def lexical_top(index: DataFrame, terms: DataFrame, n: int) -> DataFrame:
     """The best ``n`` passages per question and collection, ``rank`` from 0, straight from an index."""
-    fits = is_small(terms)
-    scored = scores(term_counts(index, terms, fits), collection_stats(index), terms, fits)
+    fits, stats = is_small(terms), collection_stats(index)
+    scored = scores(term_counts(index, terms, fits), rarity(index, terms, stats, fits), stats, terms, fits)
     return top_per_question(scored, "bm25", n, ["qid", "coll"])
 
 
-def lexical_top_stored(postings: DataFrame, stats: DataFrame, terms: DataFrame, n: int) -> DataFrame:
-    """The same from stored postings: only row groups of question terms are read."""
+def lexical_top_stored(postings: DataFrame, vocab: DataFrame, stats: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+    """The same from stored postings and vocabulary: only row groups of question terms are read."""
     counts = only_terms(postings, terms).repartition("doc", "n")
-    return top_per_question(scores(counts, stats, terms, is_small(terms)), "bm25", n, ["qid", "coll"])
+    scored = scores(counts, only_terms(vocab, terms), stats, terms, is_small(terms))
+    return top_per_question(scored, "bm25", n, ["qid", "coll"])

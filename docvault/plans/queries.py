@@ -36,7 +36,7 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
 
 def _index(spark: SparkSession, folder: str) -> DataFrame:
     """Whole documents as passages, with terms."""
-    return lexical.lexical_index(passages.whole_documents(library_documents(spark, folder)))
+    return materialise(lexical.lexical_index(passages.whole_documents(library_documents(spark, folder))), "index")
 
 
 # ------------------------------------------------------------------ text
@@ -327,7 +327,7 @@ def rrf_hybrid(spark, folder):
 # ------------------------------------------------------------------ evidence and answers
 def _supported(spark, folder):
     """(profiles, sources with support) of the benchmark questions over whole documents, found by words."""
-    index = materialise(_index(spark, folder), "index")
+    index = _index(spark, folder)
     profiles = materialise(_profiles(spark, folder, index), "profiles")
     hits = _bm25_hits(spark, folder, index)
     texts = index.select("coll", "doc", "n", "title", "section", "text")
@@ -497,7 +497,7 @@ def _eval_questions(spark, folder):
 
 @query
 def retrieval_metrics(spark, folder):
-    index = materialise(_index(spark, folder), "index")
+    index = _index(spark, folder)
     questions = _eval_questions(spark, folder)
     return evaluation.retrieval_metrics(_bm25_hits(spark, folder, index, "executive"), index, questions, "bm25")
 

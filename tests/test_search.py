@@ -78,7 +78,7 @@ def test_stored_postings_equal_the_index(spark, lib, tmp_path):
     a = lexical.lexical_top(lib.index, terms, 20).select("qid", "doc", "n", "bm25", "rank")
     save_library(lib, str(tmp_path / "lib"))
     back = open_library(spark, str(tmp_path / "lib"))
-    b = lexical.lexical_top_stored(back.postings, back.stats, terms, 20).select("qid", "doc", "n", "bm25", "rank")
+    b = lexical.lexical_top_stored(back.postings, back.vocab, back.stats, terms, 20).select("qid", "doc", "n", "bm25", "rank")
     assert sorted(a.collect()) == sorted(b.collect()) and back.components == lib.components
 
 
