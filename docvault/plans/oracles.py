@@ -72,11 +72,11 @@ def _replaced(text: str, seen: str, pattern: str, hidden: str, label: str) -> st
 
 
 def _masked(text: str) -> str:
-    """Word borders are those of all letters, so accented ones stand in as a plain letter when looking for cards."""
-    emails = _replaced(text, text, _EMAIL, f"NOT regexp_matches($m, '{_SHARED}')", "EMAIL")
-    cards = _replaced("x[1]", "x[2]", _CARD, _luhn("$m"), "CARD NUMBER")
-    both = f"list_transform([{emails}], lambda e: [e, regexp_replace(e, '[^\\x00-\\x7F]', 'x', 'g')])"
-    return f"list_transform({both}, lambda x: {cards})[1]"
+    """Cards first: their borders are looked for beside unmasked neighbours. Accented letters count as letters there."""
+    plain = f"regexp_replace({text}, '[^\\x00-\\x7F]', 'x', 'g')"
+    cards = _replaced(text, plain, _CARD, _luhn("$m"), "CARD NUMBER")
+    emails = _replaced("x", "x", _EMAIL, f"NOT regexp_matches($m, '{_SHARED}')", "EMAIL")
+    return f"list_transform([{cards}], lambda x: {emails})[1]"
 
 
 def _injected(text: str) -> str:
