@@ -522,7 +522,7 @@ def latency_percentiles(spark, folder):
 # ------------------------------------------------------------------ whole pipeline
 @query
 def hybrid_search(spark, folder):
-    library = build_library(library_documents(spark, folder), components=32)
+    library = build_library(library_documents(spark, folder), components=32, rounds=2)
     hits = search(library, benchmark_questions(spark, folder))
     return hits.select("qid", "doc", "n", "rank_bm25", "rank_dense", "score", "rank")
 

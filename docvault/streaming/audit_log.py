@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docvault.plans.ask import ask
 from docvault.plans.library import Library
 from docvault.operators.responses import audit_rows
-from docvault.sources.audit import AUDIT_SCHEMA, append_audit
+from docvault.sources.audit import AUDIT_SCHEMA
 
 
 def audit_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,13 +44,8 @@ def answer_stream(library: Library, questions: DataFrame, answers_path: str, aud
         done = ask(library, batch.drop("ts"), **options)
         done.write.mode("overwrite").parquet(f"{answers_path}/batch={number}")
         stored = batch.sparkSession.read.parquet(f"{answers_path}/batch={number}")
-        when = batch.select("qid", "ts")
-        rows = stored.join(when, "qid")
-        log = rows.select("*").transform(lambda d: audit_rows(d, F.col("ts"), F.lit(0)))
+        log = audit_rows(stored.join(batch.select("qid", "ts"), "qid"), F.col("ts"), F.lit(0))
         log.write.mode("overwrite").parquet(f"{audit_path}/batch={number}")
 
     return (questions.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
-
-
-__all__ = ["append_audit", "audit_stream", "store_audit", "running_totals", "answer_stream"]

@@ -1,15 +1,17 @@
+import json
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docvault.operators import dense, evaluation, evidence, fusion, lexical, passages, tfidf, verification
+from docvault.operators import dense, evaluation, evidence, fusion, lexical, passages, responses, tfidf, verification
 from docvault.plans.ask import add_sessions, ask, search
 from docvault.plans.library import build_library, open_library, save_library
 from docvault.session import lookup_join
 from docvault.sources.library import parse_documents
 from docvault.sources.uploads import extract, upload_documents
+from docvault.streaming.audit_log import answer_stream
 
 ALL = "[employee, hr, finance, legal, it, executive]"
 FILES = {
@@ -177,6 +179,21 @@ def test_uploads_are_private_to_their_session(spark, lib):
     assert r[2].refused and not any(s.doc.startswith("up_") for s in r[2].sources)
 
 
+def test_streamed_questions(spark, lib, tmp_path):
+    rows = asked(spark, ("How many characters do passwords need?", "employee"), ("What does grade Z7 earn?", "legal"))
+    rows.withColumn("ts", F.lit("2024-05-01 10:00:00").cast("timestamp")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("qid bigint, q string, role string, ts timestamp").parquet(str(tmp_path / "in"))
+    run = answer_stream(lib, stream, str(tmp_path / "answers"), str(tmp_path / "audit"), str(tmp_path / "cp"), method="bm25")
+    run.awaitTermination()
+    assert run.exception() is None
+    answered = spark.read.parquet(str(tmp_path / "answers"))
+    assert {r.qid: r.refused for r in answered.collect()} == {0: False, 1: True}
+    log = {r.role: (r.docs, r.refused) for r in spark.read.parquet(str(tmp_path / "audit")).collect()}
+    assert log == {"employee": ("security", 0), "legal": ("", 1)}
+    shown = [json.loads(r.event) for r in responses.events(answered.filter("qid = 0")).orderBy("seq").collect()]
+    assert [e["type"] for e in shown] == ["sources", "final"] and "16 characters" in shown[1]["answer"] and shown[0]["sources"][0]["n"] == 1
+
+
 def _backend(reply):
     return lambda: lambda system, user: reply
 
