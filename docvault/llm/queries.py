@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvault.llm import url_filter, warc
+from docvault.llm import packing, token_files, url_filter, warc
+from docvault.session import fresh_path
 
 # Fixed values of the queries.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -50,7 +52,7 @@ FROM r"""
 @query
 def op2_warc(spark, folder):
     """Write every page as a WARC record and read the archives back."""
-    where = warc.archive_folder(spark)
+    where = fresh_path(spark, "warc")
     archives = warc.write_warcs(_table(spark, folder, "pages"), where)
     found = warc.read_warcs(spark, archives, where)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -62,3 +64,17 @@ g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM p
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND newest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND newest <> page_id THEN newest END AS refers_to FROM g"""
+
+
+@query
+def op3_repair(spark, folder):
+    """Encode every text, write compressed shards in order of ids and read them back."""
+    where = fresh_path(spark, "tokens")
+    shards = token_files.write_tokens(_table(spark, folder, "documents"), where, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_tokens(spark, shards, where)
+
+
+@query
+def op10_packing(spark, folder):
+    """Pack every document into sequences of at most 1,024 ids."""
+    return packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
