@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvault.llm import packing, token_files, url_filter, warc
+from docvault.llm import language, near_duplicates, packing, quality, tiling, token_files, url_filter, warc
 from docvault.session import fresh_path
 
 # Fixed values of the queries.
@@ -74,6 +74,36 @@ def op3_repair(spark, folder):
     return token_files.read_tokens(spark, shards, where)
 
 
+@query
+def op5_compression_bands(spark, folder):
+    """Counts and compression bands of every text."""
+    found = quality.compression_bands(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op6_tiling(spark, folder):
+    """Documents that hold most of a test item, in any order of its passages."""
+    return tiling.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@query
+def op8_language(spark, folder):
+    """Language of every text, learned from the labelled part of the split."""
+    docs = _table(spark, folder, "documents")
+    part = language.training_part("doc_id", 4, 2)
+    network, languages = language.train(docs.filter(part))
+    held_out = F.coalesce(~part, F.lit(False))
+    found = language.identify(docs.withColumn("held_out", held_out), network, languages, keep=("held_out",))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op9_hyperminhash(spark, folder):
+    """Components of documents that share 85 percent of their runs of three words."""
+    return near_duplicates.near_duplicates(_table(spark, folder, "documents"), size=3, percent=85)
+
+
 @query
 def op10_packing(spark, folder):
     """Pack every document into sequences of at most 1,024 ids."""
