@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvault.llm import language, near_duplicates, packing, quality, tiling, token_files, url_filter, warc
+from docvault.llm import language, near_duplicates, packing, quality, suffix_dedup, tiling, token_files, url_filter, warc
 from docvault.session import fresh_path
 
 # Fixed values of the queries.
@@ -74,6 +74,12 @@ def op3_repair(spark, folder):
     return token_files.read_tokens(spark, shards, where)
 
 
+@query
+def op4_suffix_array(spark, folder):
+    """Bytes that a document with a smaller id holds as well, removed from every text."""
+    return suffix_dedup.remove_repeats(_table(spark, folder, "documents"))
+
+
 @query
 def op5_compression_bands(spark, folder):
     """Counts and compression bands of every text."""
