@@ -1,13 +1,16 @@
 """Whole texts to token ids with a public tokenizer, at the cost of one call per distinct piece of text.
 
 A text is cut where a tokenizer's own splitting rule cuts it in any case: before a single space or line feed between two
-visible characters, and after such a line feed. Ids of the pieces end to end are therefore the ids of the text. Pieces met
-before are looked up by a 64-bit hash; the memory of known pieces is bounded and starts anew when full.
+visible characters, after such a line feed, and between a Latin letter and a stop. Ids of the pieces end to end are therefore
+the ids of the text. Pieces met before are looked up by a 64-bit hash; the memory of known pieces is bounded and starts anew
+when full. A new piece that is a plain Latin word goes straight to the tokenizer's merges, if that gives what the whole
+tokenizer gives on words tried at the start.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,19 @@ KNOWN_IDS = 4_000_000       # ids held for known pieces, per worker
 CHUNK_BYTES = 4 << 20
 
 
+_LETTERS = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+_STOPS = np.isin(np.arange(256), list(b".,;:!?"))
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_TRIED = [" the", "The", " Straße", "été", " ÀÉ", "ñandú", " internationalisation", "X", " a", "Zoë", " qzxv"]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 def piece_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Starts of the pieces of all texts; every byte belongs to one piece and none reaches into the next text."""
     n = len(raw)
@@ -35,7 +51,11 @@ def piece_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         lone = ((raw == 0x20) | (raw == 0x0A)) & after & before
         lone[offsets[:-1][offsets[:-1] < n]] = False
         lone[offsets[1:][offsets[1:] > 0] - 1] = False
+        letter = _LETTERS[raw]
+        # Letters from C3 80 to C3 BF, without the two signs among them.
+        letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
         cut[:-1] = lone
+        cut[1:-1] |= letter[:-1] & _STOPS[raw[1:]]
         cut[1:] |= lone & (raw == 0x0A)
     cut[offsets] = True
     return np.flatnonzero(cut[:n])
@@ -54,16 +74,32 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters, self.direct = _byte_letters(), None
+        whole = [x.ids for x in self.tokenizer.encode_batch_fast(_TRIED, add_special_tokens=False)]
+        for prepare in (lambda t: t, lambda t: t.strip(), lambda t: t.strip().lower()):
+            if [self._merge(prepare(t)) for t in _TRIED] == whole:
+                self.direct = prepare
+                break
         self._clear()
 
+    def _merge(self, text: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        found: list = [self._merge(self.direct(t)) if self.direct and _WORD.fullmatch(t) else None for t in texts]
+        other = [k for k, ids in enumerate(found) if ids is None]
+        for k, made in zip(other, self.tokenizer.encode_batch_fast([texts[k] for k in other], add_special_tokens=False), strict=True):
+            found[k] = made.ids
+        return found
+
     def _clear(self):
         self.slot_of: dict[int, int] = {}
         self.at, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool, self.used = np.zeros(1 << 18, np.int32), 0
 
     def _learn(self, keys: list[int], texts: list[str]) -> None:
-        for key, found in zip(keys, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids, slot = found.ids, len(self.slot_of)
+        for key, ids in zip(keys, self._ids(texts), strict=True):
+            slot = len(self.slot_of)
             if slot == len(self.at):
                 self.at, self.length = np.resize(self.at, 2 * slot), np.resize(self.length, 2 * slot)
             if self.used + len(ids) > len(self.pool):

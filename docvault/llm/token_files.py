@@ -30,7 +30,7 @@ from docvault.session import materialise
 MAGIC = b"DVREPAIR1\n"
 SYMBOLS = 1 << 16           # terminals and rules of a shard together
 
-SHARD_IDS = 4_000_000
+SHARD_IDS = 2_000_000
 LEAST_COUNT = 6             # a pair must occur so often in a shard to become a rule
 ROUNDS = 10                 # rounds of replacement; what is left over stays as it is
 _SLOTS = 18
