@@ -1,12 +1,72 @@
-"""The training-data pipeline: each stage works on all that the stage before it kept."""
+"""The training-data pipeline: each stage works on all that the stage before it kept.
+
+A null id is kept apart from all others; rows that share an id are judged by their own texts. Empty tables pass through.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docvault.llm import language, near_duplicates, packing, suffix_dedup, tiling
+from docvault.session import is_small, lookup_join, materialise
+
+LEAST_LANGUAGE_SCORE = 0.4
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+_NONE = -(1 << 63)
+
+
+def _key(column: str = "doc_id") -> Column:
+    return F.coalesce(F.col(column), F.lit(_NONE))
+
+
+def _without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Rows of ``docs`` whose keys aren't in ``gone``; the text moves only where ``gone`` is too large to broadcast."""
+    gone = materialise(gone.distinct(), "gone")
+    return lookup_join(docs.withColumns(keys), gone, list(keys), "left_anti", fits=is_small(gone)).select(*docs.columns)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts without a letter and texts that the network can't tell (score under ``LEAST_LANGUAGE_SCORE``)."""
+    network, languages = language.train(docs)
+    found = language.identify(docs, network, languages, keep=("text", "lang", "source", "n_chars"))
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near copies; of repeated rows one stays."""
+    found = materialise(near_duplicates.near_duplicates(docs).select(_key().alias("_id"), "text_hash", "kept"), "kept")
+    left = _without(docs, found.filter("not kept").select("_id", "text_hash"), {"_id": _key(), "text_hash": F.xxhash64("text")})
+    again = materialise(found.filter("kept").groupBy("_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id", "text_hash"), "again")
+    if again.isEmpty():
+        return left
+    keyed = left.withColumns({"_id": _key(), "text_hash": F.xxhash64("text")})
+    few = is_small(again)
+    once = lookup_join(keyed, again, ["_id", "text_hash"], "left_anti", fits=few)
+    repeated = lookup_join(keyed, again, ["_id", "text_hash"], "left_semi", fits=few).dropDuplicates(["_id", "text_hash"])
+    return once.unionByName(repeated).select(*docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove passages that a document with a smaller id holds; texts with nothing left go."""
+    found = suffix_dedup.remove_repeats(docs, carry=("lang", "source"), texts=True)
+    return found.filter(F.trim("text") != "").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def without_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold most of a test item, whole or in another order."""
+    found = tiling.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.select(_key().alias("_id")), {"_id": _key()})
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1,024 ids, with the ids of each piece."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, ids=True)
 
-from docvault.session import materialise
 
-STAGES: list = []
+STAGES = [("language", known_language), ("near_duplicates", one_of_each), ("repeats", without_repeats), ("decontamination", without_tests), ("packing", packed)]
+# Networks, tokenizers and tilings are beyond SQL; tests/llm compares the stages with plain loops.
 ORACLE_SQL = None
 
 

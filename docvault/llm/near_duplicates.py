@@ -191,7 +191,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, pe
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable) and kept (the id is the component's).
+    """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable), kept (the id is the component's), text_hash.
 
     Linked are documents whose sets of ``size`` words share ``percent`` percent of their union.
     """
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     named = named.select("_class", "_least", F.coalesce("_part", "_class").alias("_part"))
     names = named.groupBy("_part").agg(F.min("_least").alias("_component"))
     named = materialise(lookup_join(named, names, ["_part"], salt=F.col("_class"), fits=False, salts=8).select("_class", "_component"), "named")
-    out = lookup_join(rows.select("_id", "_n", "_class"), named.withColumn("_named", F.lit(True)), ["_class"], "left", salt=F.xxhash64("_id"), fits=is_small(named))
+    out = lookup_join(rows.select("_id", "_hash", "_n", "_class"), named.withColumn("_named", F.lit(True)), ["_class"], "left", salt=F.xxhash64("_id"), fits=is_small(named))
     component = F.when(F.col("_named"), F.col("_component")).otherwise(F.col("_id"))
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("_id").eqNullSafe(component).alias("kept"))
+                      F.col("_id").eqNullSafe(component).alias("kept"), F.col("_hash").alias("text_hash"))

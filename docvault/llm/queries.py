@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvault.llm import language, near_duplicates, packing, quality, suffix_dedup, tiling, token_files, url_filter, warc
+from docvault.llm import language, language_model, near_duplicates, packing, quality, suffix_dedup, tiling, token_files, url_filter, warc
 from docvault.session import fresh_path
 
 # Fixed values of the queries.
@@ -80,6 +80,21 @@ def op4_suffix_array(spark, folder):
     return suffix_dedup.remove_repeats(_table(spark, folder, "documents"))
 
 
+ORACLES["op4_suffix_array"] = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS k FROM b WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS f FROM w GROUP BY s HAVING count(*) > 1),
+g AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS p FROM w JOIN f USING (s) WHERE f < doc_id),
+i AS (SELECT doc_id, k, sum(CASE WHEN p IS NULL OR k > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM g),
+r AS (SELECT doc_id, run, min(k) AS low, max(k) + 50 AS high FROM i GROUP BY 1, 2),
+c AS (SELECT doc_id, low, high, lag(high, 1, 0) OVER (PARTITION BY doc_id ORDER BY low) AS after, lead(1) OVER (PARTITION BY doc_id ORDER BY low) AS more FROM r),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(high - low) AS n_removed,
+             string_agg(substr(h, 2 * after + 1, 2 * (low - after)) || CASE WHEN more IS NULL THEN substr(h, 2 * high + 1) ELSE '' END, '' ORDER BY low) AS kept
+      FROM c JOIN b USING (doc_id) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM b LEFT JOIN k USING (doc_id)"""
+
+
 @query
 def op5_compression_bands(spark, folder):
     """Counts and compression bands of every text."""
@@ -93,6 +108,13 @@ def op6_tiling(spark, folder):
     return tiling.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+@query
+def op7_language_model(spark, folder):
+    """Score every text by a model learned from four fifths of the documents."""
+    found = language_model.score_texts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), language.training_part("doc_id", 5, 1))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op8_language(spark, folder):
     """Language of every text, learned from the labelled part of the split."""
@@ -107,7 +129,20 @@ def op8_language(spark, folder):
 @query
 def op9_hyperminhash(spark, folder):
     """Components of documents that share 85 percent of their runs of three words."""
-    return near_duplicates.near_duplicates(_table(spark, folder, "documents"), size=3, percent=85)
+    return near_duplicates.near_duplicates(_table(spark, folder, "documents"), size=3, percent=85).drop("text_hash")
+
+
+ORACLES["op9_hyperminhash"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, chr(10))]
+             ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2]) END) AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+e AS (SELECT doc_id, hash(unnest(s)) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen),
+m AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, n AS n_shingles, component_id, component_id = doc_id AS kept FROM n JOIN m USING (doc_id)"""
 
 
 @query
