@@ -24,9 +24,9 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50          # percent of words in repeated windows of three
 
 # Least number of bytes, lowest and highest ratio of compressed to plain bytes.
-WHOLE_BANDS = [(0, 0.0, 2.0), (256, 0.12, 0.80), (1024, 0.10, 0.70), (4096, 0.06, 0.65), (16384, 0.04, 0.62)]
+WHOLE_BANDS = [(0, 0.0, 10.0), (256, 0.30, 0.85), (512, 0.25, 0.80), (1024, 0.22, 0.70), (2048, 0.20, 0.64), (4096, 0.18, 0.60), (16384, 0.15, 0.55)]
 CHUNK_BYTES = 4096
-CHUNK_BAND = (0.06, 0.70)
+CHUNK_BAND = (0.15, 0.65)
 MOST_BAD_CHUNKS = 0.5
 FIELDS = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
           "base_failed boolean, kept boolean, ratio double, n_chunks long, n_bad_chunks long, reason string")
