@@ -5,9 +5,10 @@ smallest hash, 16 bits in all. Empty buckets borrow from filled ones in an order
 share a band of registers are candidates; candidates whose estimate, corrected for chance collisions and with a margin of
 several deviations, could reach the threshold are checked on their full sets.
 
-Documents of equal sets are one class and only classes are compared. Within a band's group every class is first compared
-with one leader; only classes left in different components by that are compared with each other, so a large group of
-copies costs one comparison per member. No candidate is capped or dropped.
+Documents of equal sets are one class and only classes are compared. A band's group is compared inside a task, large groups
+in pairs of bounded blocks. A pair is looked at in the first band it shares, and checked on full sets only while its two
+classes aren't joined by other links of the group. A group sends on members and links that join them, never its pairs. No
+candidate is capped or dropped.
 
 A document without words has no shingles and is linked with nothing. Rows with equal ids are separate documents that share
 a name; a null id names a component only where no row of it has an id. Null texts are empty. Only the named columns
@@ -32,6 +33,8 @@ ROWS = 5
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 DEVIATIONS = 6.0
+BLOCK_CLASSES = 1024        # classes of one group that are compared at once
+PAIRS = 1 << 15             # pairs whose registers are compared at once
 
 
 def distinct_shingles(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,31 +141,123 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
         run, "_id long, _hash long, _n long, _class long, _registers binary")
 
 
-def _estimate(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (_a, _b) whose registers leave the threshold possible. Hot classes are spread by a salt."""
-    for side in "ab":
-        own = classes.select(F.col("_class").alias(f"_{side}"), F.col("_n").alias(f"_n{side}"), F.col("_registers").alias(f"_r{side}"))
-        pairs = lookup_join(pairs, own, [f"_{side}"], salt=F.xxhash64("_a", "_b"), salts=8, fits=False)
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows of a sorted partition, cut between groups of equal ``keys`` only."""
+    held = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        last = [held[k][len(held) - 1].as_py() for k in keys]
+        if [held[k][0].as_py() for k in keys] == last:
+            continue
+        same = np.ones(len(held), bool)
+        for k, v in zip(keys, last, strict=True):
+            same &= held[k].to_numpy() == v
+        cut = int(np.flatnonzero(~same)[-1]) + 1
+        yield held.slice(0, cut).combine_chunks()
+        held = held.slice(cut)
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def _pairs(rows: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers of pairs of one group whose estimate leaves the threshold possible, with matching registers.
+
+    A pair counts in the first band only that both share, and in the pair of blocks that its classes fall into.
+    """
+    registers_ = _fixed(rows["_registers"].combine_chunks(), np.uint16, REGISTERS)
+    n, own, band = (rows[k].to_numpy() for k in ("_n", "_own", "_band"))
+    i, j = rows["_i"].to_numpy(), rows["_j"].to_numpy()
+    key = rows["_key"].to_numpy()
+    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    size = np.diff(np.append(new, len(key)))
+    # Partners of each row: the rows after it in its group.
+    after = np.repeat(new + size, size) - np.arange(len(key)) - 1
+    ends = np.cumsum(after)
+    low = 0
+    while low < len(key):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, "right")))
+        a = np.repeat(np.arange(low, high), after[low:high])
+        b = np.arange(len(a)) - np.repeat(ends[low:high] - after[low:high] - (ends[low - 1] if low else 0), after[low:high]) + a + 1
+        low = high
+        for first in range(0, len(a), PAIRS):
+            x, y = a[first:first + PAIRS], b[first:first + PAIRS]
+            fits = ((own[x] == i[x]) & (own[y] == j[x])) | ((own[y] == i[x]) & (own[x] == j[x]))
+            x, y = x[fits], y[fits]
+            keep = could_link(registers_[x], registers_[y], n[x], n[y], percent)
+            x, y = x[keep], y[keep]
+            equal = registers_[x] == registers_[y]
+            shared = equal.reshape(len(x), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            mine = shared == band[x]
+            yield x[mine], y[mine], equal[mine].sum(axis=1)
+
+
+GROUP = ["_key", "_i", "_j"]
+SHAPE = "_key long, _i int, _j int, _band int, _own int, _class long, _n long, _registers binary"
+
+
+def _participants(groups: DataFrame, percent: int) -> DataFrame:
+    """Members that have a pair to be checked in their group."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches, GROUP):
+            take = np.zeros(len(rows), bool)
+            for x, y, _ in _pairs(rows, percent):
+                take[x] = take[y] = True
+            yield from rows.filter(pa.array(take)).to_batches()
+
+    return groups.mapInArrow(run, SHAPE)
+
 
+def _linked(groups: DataFrame, percent: int) -> DataFrame:
+    """Links of each group that join all members whose full sets reach the threshold.
+
+    Pairs come in order of their estimates; a pair whose classes are joined already needs no check.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                get = lambda k: batch.column(batch.schema.get_field_index(k))
-                keep = could_link(_fixed(get("_ra"), np.uint16, REGISTERS), _fixed(get("_rb"), np.uint16, REGISTERS),
-                                  get("_na").to_numpy(), get("_nb").to_numpy(), percent)
-                yield pa.RecordBatch.from_arrays([get("_a"), get("_b")], ["_a", "_b"]).filter(pa.array(keep))
+        for rows in _whole_groups(batches, GROUP):
+            classes, sets = rows["_class"].to_numpy(), rows["_set"].combine_chunks()
+            found = [np.concatenate(x) for x in zip(*_pairs(rows, percent), strict=True)]
+            if not found:
+                continue
+            order = np.argsort(-found[2], kind="stable")
+            root, opened, links = list(range(len(rows))), {}, []
+
+            def top(k, root=root):
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            def full(k, opened=opened, sets=sets):
+                if k not in opened:
+                    opened[k] = np.frombuffer(sets[k].as_py(), np.uint64)
+                return opened[k]
+
+            for x, y in zip(found[0][order].tolist(), found[1][order].tolist(), strict=True):
+                p, q = top(x), top(y)
+                if p == q:
+                    continue
+                both = np.concatenate([full(x), full(y)])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= percent * (len(both) - shared):
+                    root[p] = q
+                    links.append((classes[x], classes[y]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["_a", "_b"])
 
-    return pairs.mapInArrow(run, "_a long, _b long")
+    return groups.mapInArrow(run, "_a long, _b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("_a", "_b")).alias("_class")).distinct().join(classes.select("_class", "_pick"), "_class")
-    wanted = materialise(wanted.select("_class", "_pick._id", "_pick._hash"), "wanted")
+def _sets(classes: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """Full sorted shingle sets of the classes (_class, _pick), from one document of each."""
+    wanted = materialise(classes.select("_class", "_pick._id", "_pick._hash"), "wanted")
     texts = docs.select(_known(F.col(id_col)).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
     texts = lookup_join(texts, wanted, ["_id", "_hash"], salt=F.length("_text"), fits=is_small(wanted))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = W.terminated(batch.column(batch.schema.get_field_index("_text")))
             of = batch.column(batch.schema.get_field_index("_class"))
@@ -172,22 +267,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, pe
                     [of.slice(low, high - low), pa.array([hashes[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)], pa.binary())],
                     ["_class", "_set"])
 
-    full = materialise(texts.mapInArrow(sets, "_class long, _set binary").dropDuplicates(["_class"]), "sets")
-    for side in "ab":
-        own = full.select(F.col("_class").alias(f"_{side}"), F.col("_set").alias(f"_s{side}"))
-        pairs = lookup_join(pairs, own, [f"_{side}"], salt=F.xxhash64("_a", "_b"), salts=8, fits=False)
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for k in range(len(batch)):
-                a, b = (np.frombuffer(batch.column(batch.schema.get_field_index(s))[k].as_py(), np.uint64) for s in ("_sa", "_sb"))
-                both = np.sort(np.concatenate([a, b]))
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(s)) for s in ("_a", "_b")], ["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.mapInArrow(check, "_a long, _b long")
+    return materialise(texts.mapInArrow(run, "_class long, _set binary").dropDuplicates(["_class"]), "sets")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,29 +281,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_rows"), F.first("_n").alias("_n"), F.first("_registers").alias("_registers"),
         F.min(F.struct(_known(F.col("_id")).alias("_id"), "_hash")).alias("_pick")), "classes")
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("_registers", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])
-    banded = classes.select("_class", F.explode(keys).alias("_key"))
-    groups = materialise(banded.groupBy("_key").agg(F.min("_class").alias("_leader"), F.max("_class").alias("_other"))
-                         .filter("_leader < _other").select("_key", "_leader"), "bands")
-    members = materialise(lookup_join(banded, groups, ["_key"], salt=F.col("_class"), fits=is_small(groups)), "members")
-    stars = members.filter("_class <> _leader").select(F.col("_class").alias("_a"), F.col("_leader").alias("_b")).distinct()
-    stars = materialise(_estimate(stars, classes, percent), "stars")
-    links = materialise(_verify(stars, docs, classes, size, percent, id_col, text_col), "links")
-    found = components(links)
-    # Classes of one band that the leaders have left apart.
-    labels = found.select(F.col("node").alias("_class"), F.col("component").alias("_part"))
-    placed = lookup_join(members.select("_key", "_class"), labels, ["_class"], "left", salt=F.xxhash64("_key"), fits=is_small(labels))
-    placed = placed.withColumn("_part", F.coalesce("_part", "_class"))
-    open_keys = placed.groupBy("_key").agg(F.min("_part").alias("_p"), F.max("_part").alias("_q")).filter("_p < _q").select("_key")
-    placed = materialise(placed.join(open_keys, "_key", "left_semi"), "open")
-    left = placed.select("_key", F.col("_class").alias("_a"), F.col("_part").alias("_pa"))
-    right = placed.select("_key", F.col("_class").alias("_b"), F.col("_part").alias("_pb"))
-    apart = left.join(right, "_key").filter("_pa <> _pb and _a > _b").select("_a", "_b").distinct()
-    apart = apart.join(stars, ["_a", "_b"], "left_anti")
-    apart = materialise(_estimate(apart, classes, percent), "apart")
-    more = _verify(apart, docs, classes, size, percent, id_col, text_col)
-    found = components(materialise(links.unionByName(more), "links"))
+    banded = classes.select("_class", F.posexplode(keys).alias("_band", "_key"))
+    sizes = banded.groupBy("_key").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
+    sizes = materialise(sizes.withColumn("_blocks", F.ceil(F.col("_m") / BLOCK_CLASSES).cast("int")).drop("_m"), "bands")
+    members = materialise(lookup_join(banded, sizes, ["_key"], salt=F.col("_class"), fits=is_small(sizes)), "members")
+    # A large group is cut into blocks; every pair of blocks is a group of its own.
+    own = F.pmod(F.xxhash64("_class"), F.col("_blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    placed = members.withColumn("_own", own).withColumn("_other", other).select(
+        "_key", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "_band", "_own", "_class")
+    # A class is in at most one group per band and block, so this join has no hot key.
+    placed = placed.join(classes.select("_class", "_n", "_registers"), "_class")
+    grouped = placed.select(*[f.split()[0] for f in SHAPE.split(", ")]).repartition(*GROUP).sortWithinPartitions(*GROUP)
+    checked = materialise(_participants(grouped, percent), "participants")
+    involved = checked.select("_class").distinct().join(classes.select("_class", "_pick"), "_class")
+    full = _sets(involved, docs, size, id_col, text_col)
+    links = materialise(_linked(checked.join(full, "_class").repartition(*GROUP).sortWithinPartitions(*GROUP), percent), "links")
     # The smallest id of each component; classes of one row without links name themselves.
-    linked = found.select(F.col("node").alias("_class"), F.col("component").alias("_part"))
+    linked = components(links).select(F.col("node").alias("_class"), F.col("component").alias("_part"))
     named = classes.join(linked, "_class", "left").filter("_rows > 1 or _part is not null")
     named = named.select("_class", "_least", F.coalesce("_part", "_class").alias("_part"))
     names = named.groupBy("_part").agg(F.min("_least").alias("_component"))

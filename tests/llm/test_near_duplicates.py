@@ -66,6 +66,20 @@ def test_brute_force(spark, documents, odd):
         assert _got(docs, 3, 85) == _brute([(r.doc_id, r.text) for r in docs.collect()], 3, 85)
 
 
+def test_groups_in_blocks(spark, monkeypatch):
+    """A group of more classes than a block holds, whose members link in part only."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_CLASSES", 7)
+    draw = np.random.default_rng(12)
+    base, rows = [f"w{x}" for x in range(160)], []
+    for k in range(120):
+        own = list(base)
+        for _ in range(int(draw.integers(0, 12))):
+            own[int(draw.integers(160))] = f"x{draw.integers(10 ** 6)}"
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert _got(docs, 3, 85) == _brute(rows, 3, 85)
+
+
 def test_empty(none):
     assert near_duplicates.near_duplicates(none).count() == 0
 
