@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docvault import fixed_values as V
-from docvault.functions.common import by_name
+from docvault.functions.common import by_name, let
 
 
 def strip(c: Column) -> Column:
@@ -139,3 +139,15 @@ def word_count(c: Column) -> Column:
 
 def question_id(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 12)
+
+
+def run_lengths(terms: Column) -> Column:
+    """array<struct<term, tf>> of an array of terms, counted within the row."""
+    def of_sorted(ordered: Column) -> Column:
+        n = F.size(ordered)
+        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(at, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        return let(starts, lambda s: F.transform(s, lambda i, k: F.struct(
+            F.get(ordered, i).alias("term"), (F.coalesce(F.get(s, k + 1), n) - i).cast("bigint").alias("tf"))))
+
+    return let(F.sort_array(terms), of_sorted)

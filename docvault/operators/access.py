@@ -37,6 +37,10 @@ def permitted(documents: DataFrame, role: str) -> DataFrame:
     return documents.filter(F.array_contains("access", role))
 
 
+def denied(documents: DataFrame, role: str) -> DataFrame:
+    return documents.filter(~F.array_contains("access", role))
+
+
 def documents_per_role(documents: DataFrame) -> DataFrame:
     opened = documents.select(F.explode("access").alias("role"))
     return opened.groupBy("role").agg(F.count(F.lit(1)).alias("documents"))

@@ -3,8 +3,9 @@
 Statistics (passage count, mean length, document frequency) cover the whole collection, locked passages
 included, so a score does not depend on who asks. A collection is the library or one session's uploads.
 
-Plan: the index is read once and only question terms survive a broadcast test; one exchange by passage
-serves both the term counts and the scores; top-k is cut inside each task before the exchange by question.
+Plan: a passage's terms are counted within its row, so nothing moves before scoring. The counts of question terms are
+written once and give both the document frequencies and the scores; passages' lengths are read a second time for their
+mean. Top-k is cut inside each task before the exchange by question.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docvault import fixed_values as V
-from docvault.functions.text import tokens
+from docvault.functions.text import run_lengths, tokens
 from docvault.operators import glossary
 from docvault.operators.access import allows, role_bit
 from docvault.operators.ranking import top_per_question
-from docvault.session import is_small, lookup_join
+from docvault.session import is_small, lookup_join, materialise
 
 PASSAGE = ["coll", "doc", "n"]
 MAX_LISTED_TERMS = 2000
@@ -71,17 +72,12 @@ def only_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def term_counts(index: DataFrame, terms: DataFrame | None = None, fits: bool | None = None) -> DataFrame:
-    """Postings (coll, doc, n, mask, superseded, length, term, tf), of all terms or those of ``terms``.
-
-    The postings of given terms are spread by passage, which scoring reuses; all postings are counted inside
-    each task first.
-    """
-    rows = index.select(*PASSAGE, "mask", "superseded", "length", F.explode("tokens").alias("term"))
+    """Postings (coll, doc, n, mask, superseded, length, term, tf), of all terms or those of ``terms``; counted in the row."""
+    rows = index.select(*PASSAGE, "mask", "superseded", "length", F.explode(run_lengths(F.col("tokens"))).alias("c"))
+    rows = rows.select(*PASSAGE, "mask", "superseded", "length", "c.term", "c.tf")
     if terms is not None:
-        rows = lookup_join(rows, terms.select("term").distinct(), ["term"], "left_semi", fits=fits)
-        rows = rows.repartition("doc", "n")
-    return rows.groupBy(*PASSAGE, "mask", "superseded", "length", "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+        rows = lookup_join(rows, terms.select("term").distinct(), ["term"], "left_semi", salt=F.xxhash64("doc", "n"), fits=fits)
+    return rows
 
 
 def stored_order(postings: DataFrame) -> DataFrame:
@@ -89,18 +85,16 @@ def stored_order(postings: DataFrame) -> DataFrame:
     return postings.repartitionByRange("term", F.xxhash64("doc", "n")).sortWithinPartitions("term")
 
 
-def rarity(index: DataFrame, terms: DataFrame, stats: DataFrame, fits: bool) -> DataFrame:
-    """(coll, term, idf) of the question terms, counted in each task first."""
-    held = index.select("coll", F.explode(F.array_distinct("tokens")).alias("term"))
-    held = lookup_join(held, terms.select("term").distinct(), ["term"], "left_semi", fits=fits)
-    df = held.groupBy("coll", "term").agg(F.count(F.lit(1)).alias("df"))
+def rarity(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    """(coll, term, idf) of postings; a term has one posting per passage."""
+    df = counts.groupBy("coll", "term").agg(F.count(F.lit(1)).alias("df"))
     return df.join(F.broadcast(stats), "coll").select("coll", "term", idf(F.col("passages"), F.col("df")).alias("idf"))
 
 
 def scores(counts: DataFrame, rare: DataFrame, stats: DataFrame, terms: DataFrame, fits: bool) -> DataFrame:
     """BM25 of every permitted passage that shares a term with a question: (qid, coll, doc, n, superseded, bm25).
 
-    ``counts`` are the postings of the question terms in all passages, spread by passage; ``rare`` holds their
+    ``counts`` are the postings of the question terms in all passages; ``rare`` holds their
     (coll, term, idf); ``fits`` tells whether the question terms are few enough to be broadcast.
     """
     # collections are the library and the live sessions, a capped number
@@ -115,8 +109,9 @@ def scores(counts: DataFrame, rare: DataFrame, stats: DataFrame, terms: DataFram
 
 def lexical_top(index: DataFrame, terms: DataFrame, n: int) -> DataFrame:
     """The best ``n`` passages per question and collection, ``rank`` from 0, straight from an index."""
-    fits, stats = is_small(terms), collection_stats(index)
-    scored = scores(term_counts(index, terms, fits), rarity(index, terms, stats, fits), stats, terms, fits)
+    fits, stats = is_small(terms), materialise(collection_stats(index), "collection-stats")
+    counts = materialise(term_counts(index, terms, fits), "question-postings")
+    scored = scores(counts, rarity(counts, stats), stats, terms, fits)
     return top_per_question(scored, "bm25", n, ["qid", "coll"])
 
 

@@ -48,9 +48,10 @@ def responses(profiles: DataFrame, sources: DataFrame, answers: DataFrame,
         (_total(pii.counts(F.col("hide"))) + F.coalesce("masked_in_sources", F.lit(0))).alias("total_masked"))
 
 
-def audit_rows(answered: DataFrame, ts: Column, ms: Column, redact: bool = False) -> DataFrame:
+def audit_rows(answered: DataFrame, ts: Column, ms: Column, seq: Column, redact: bool = False) -> DataFrame:
+    """Audit rows of answered questions; ``seq`` orders them within the trail."""
     return answered.select(*audit_row(
-        ts, F.monotonically_increasing_id(), F.col("sid"), F.col("role"), F.lit("ask"), F.col("question"),
+        ts, seq, F.col("sid"), F.col("role"), F.lit("ask"), F.col("question"),
         F.col("cited_docs"), F.col("refused"), F.col("total_masked"), F.col("injections_blocked"), ms, redact))
 
 

@@ -278,6 +278,30 @@ O["injection_scan"] = f"""SELECT 'documents' AS origin, doc_id AS id, {_injected
 O["sanitise_lines"] = f"""SELECT doc_id, md5(array_to_string(list_filter(list_transform(c, lambda x: x.line), lambda t: t IS NOT NULL), chr(10))) AS clean_md5,
   list_sum(list_transform(c, lambda x: x.removed))::INT AS removed FROM (SELECT doc_id, {_clean('text')} AS c FROM documents)"""
 
+# Positive cases: the same texts are built here, and what is expected of the planted part is written out.
+def _stem_ar(w: str) -> str:
+    prefixes = " ".join(f"WHEN starts_with({w}, '{p}') AND length({w}) >= {len(p) + 3} THEN substr({w}, {len(p) + 1})" for p in V.AR_PREFIXES)
+    one = f"CASE {prefixes} ELSE {w} END"
+    two = "CASE WHEN starts_with(w, 'و') AND length(w) >= 5 THEN substr(w, 2) ELSE w END"
+    three = "CASE WHEN left(w, 1) IN ('ل', 'ب', 'ك', 'ف') AND NOT starts_with(w, 'لل') AND length(w) >= 4 THEN substr(w, 2) ELSE w END"
+    suffixes = " ".join(f"WHEN ends_with(w, '{x}') AND length(w) >= {len(x) + 3} THEN left(w, length(w) - {len(x)})" for x in V.AR_SUFFIXES)
+    out = f"[{one}]"
+    for step in (two, three, f"CASE {suffixes} ELSE w END"):
+        out = f"list_transform({out}, lambda w: {step})"
+    return f"{out}[1]"
+
+
+_AR_RAW = "list_filter(regexp_extract_all(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ابتثجحخدذرزسشصضطظعغفقكلمنه'), '[ا-ه]+|[0-9]+(?:[.,][0-9]+)*%?'), lambda t: t NOT IN ({}))"
+O["arabic_tokens"] = f"""SELECT doc_id, is_arabic, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, md5(array_to_string(t, ' ')) AS terms_md5 FROM (
+  SELECT doc_id, coalesce(length(regexp_replace(lower(text), '[^a-z]', '', 'g')) > 0.4 * nullif(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')), 0), false) AS is_arabic,
+    list_transform({_AR_RAW.format(_quoted(dict.fromkeys(V.AR_STOP)))}, lambda t: CASE WHEN t < 'ء' THEN replace(t, ',', '') ELSE {_stem_ar('t')} END) AS t FROM documents)"""
+O["planted_instructions"] = f"""SELECT doc_id, doc_id % 3 = 0 OR {_injected('text')} AS flagged,
+  md5(array_to_string(list_filter(list_transform(c, lambda x: x.line), lambda t: t IS NOT NULL), chr(10)) || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Row ' || doc_id || ' stays.' ELSE '' END) AS clean_md5,
+  list_sum(list_transform(c, lambda x: x.removed))::INT + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS removed FROM (SELECT doc_id, text, {_clean('text')} AS c FROM documents)"""
+O["planted_identifiers"] = f"""SELECT doc_id, 2 AS emirates_id, 1 AS iban, 1 AS passport, 1 AS phone,
+  md5({_masked('text')} || chr(10) || '[EMIRATES ID HIDDEN] [EMIRATES ID HIDDEN]; [IBAN HIDDEN]; passport no. [PASSPORT HIDDEN]; [PHONE HIDDEN]') AS masked_md5
+  FROM documents WHERE doc_id % 3 = 0"""
+
 _ACCESS = f"CASE WHEN cls = 6 THEN '{','.join(V.ROLES)}' WHEN cls = 5 THEN 'executive' ELSE {ROLE_LIST}[cls + 1] || ',executive' END"
 O["library_listing"] = _with(BASE, select=f"""SELECT doc AS id, title, lang, {_ACCESS} AS access, cls IN (6, 1) AS can_read,
   CASE WHEN superseded THEN 'superseded' ELSE 'current' END AS status,
@@ -378,7 +402,7 @@ _REFUSED = f"'{V.REFUSAL['en']}'".replace("couldn't", "couldn''t")
 _LEFT = r"regexp_replace(head, '^\s+', '')"
 VERIFY = f"""
 raws AS (
-  SELECT s.qid, s.qid % 7 AS turn, left(t.text, 40) AS head, s.* EXCLUDE (qid, text), s.text AS safe_text,
+  SELECT s.qid, s.qid % 7 AS turn, ({_sentences('t.text')})[1] AS head, s.* EXCLUDE (qid, text), s.text AS safe_text,
          (SELECT count(*) FROM sup WHERE sup.qid = s.qid) AS n_src, t.text AS text1, u.text AS text2
   FROM safe s JOIN sup t ON t.qid = s.qid AND t.rank = 0 LEFT JOIN sup u ON u.qid = s.qid AND u.rank = 1),
 fin AS (
@@ -463,19 +487,19 @@ O["question_validation"] = r"""SELECT conv_id, turn, CASE WHEN length(q) NOT BET
     WHEN NOT regexp_full_match('session' || conv_id, '[A-Za-z0-9]{8,40}') THEN 'invalid session id' ELSE '' END AS error
   FROM (SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS q, CASE WHEN role = 'user' THEN 'employee' ELSE role END AS role FROM conversations)"""
 
-EVAL = """
+EVAL = f"""
 eq AS (SELECT item_id AS qid, ['fact', 'cross', 'version', 'unanswerable', 'restricted', 'pii', 'injection'][item_id % 7 + 1] AS type,
-  lower(left(text, 60)) AS expect, lower(left(text, 12)) AS must_not FROM benchmark)
+  lower(text) AS passage, {_sentences('text')} AS expect, lower(({_sentences('text')})[-1]) AS must_not FROM benchmark)
 """
 O["retrieval_metrics"] = _with(BASE, _hits("true"), EVAL, select="""
   SELECT 'bm25' AS method, count(*) AS n, round(sum(CASE WHEN pos = 0 THEN 1 ELSE 0 END) / greatest(count(*), 1), 3) AS hit1,
     round(count(pos) / greatest(count(*), 1), 3) AS hit5, round(coalesce(sum(1 / (pos + 1)), 0) / greatest(count(*), 1), 3) AS mrr,
     round(coalesce(sum(CASE WHEN type = 'cross' THEN CASE WHEN pos = 0 THEN 1 ELSE 0 END END), 0) / greatest(count(*) FILTER (WHERE type = 'cross'), 1), 3) AS cross_hit1
-  FROM (SELECT e.qid, e.type, (SELECT min(rank) FROM hits h JOIN lib l USING (doc) WHERE h.qid = e.qid AND contains(lower(l.text), e.expect)) AS pos
+  FROM (SELECT e.qid, e.type, (SELECT min(rank) FROM hits h JOIN lib l USING (doc) WHERE h.qid = e.qid AND contains(lower(l.text), e.passage)) AS pos
         FROM eq e WHERE type IN ('fact', 'cross', 'version'))""")
 JUDGED = f"""
 judged AS MATERIALIZED (
-  SELECT e.qid, e.type, s.refused, contains(lower({_masked('s.text')}), e.expect) AS correct,
+  SELECT e.qid, e.type, s.refused, len(list_filter(e.expect, lambda x: contains(lower({_masked('s.text')}), lower(x)))) > 0 AS correct,
     CAST(contains(lower({_masked('s.text')}) || ' ' || (SELECT string_agg(lower(safe_text), ' ' ORDER BY rank) FROM shown WHERE shown.qid = e.qid), e.must_not) AS INT) AS leaks
   FROM eq e JOIN safe s USING (qid)),
 metrics AS MATERIALIZED (

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,30 +14,53 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+# Folders made inside the innermost ``intermediates`` scopes of this driver.
+_SCOPES: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test session) is one made and set.
+    A cluster has to name one. Only a local session, as in tests, gets a folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="docvault-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/docvault/{name}-{uuid.uuid4().hex}"
+def fresh_path(spark: SparkSession, name: str, outer: bool = False) -> str:
+    """A new folder for a table; it goes with the innermost scope, or with the scope around that."""
+    path = f"{shared_folder(spark)}/docvault/{name}-{uuid.uuid4().hex}"
+    for scope in _SCOPES[:-1][-1:] if outer else _SCOPES[-1:]:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Remove all tables that are materialised inside, at the end. Results must have been written elsewhere by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for name in _SCOPES.pop():
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Used where a result is scanned several times: the lineage is cut at files that outlive an executor,
-    and later scans prune columns.
+    and later scans prune columns. With ``keep`` the table outlives the innermost ``intermediates`` scope.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = fresh_path(spark, name, outer=keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

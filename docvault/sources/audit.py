@@ -23,6 +23,13 @@ def audit_row(ts: Column, seq: Column, session: Column, role: Column, kind: Colu
             injections.cast("int").alias("injections"), ms.cast("int").alias("ms")]
 
 
+def upload_rows(uploads: DataFrame, seq: Column, ms: Column) -> DataFrame:
+    """Audit rows of accepted uploads, as ``upload_documents`` gives them: the file's name, its id and its identifiers."""
+    found = F.aggregate(F.map_values(F.coalesce("pii", F.create_map().cast("map<string,int>"))), F.lit(0), lambda a, n: a + n)
+    return uploads.select(*audit_row(
+        F.col("created"), seq, F.col("coll"), F.lit("-"), F.lit("upload"), F.col("title"), F.array("id"), F.lit(False), found, F.lit(0), ms))
+
+
 def append_audit(rows: DataFrame, path: str) -> None:
     rows.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docvault import fixed_values as V
 from docvault.functions import pii
-from docvault.session import lookup_join, spread
+from docvault.session import lookup_join, materialise, spread
 
 
 KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "benchmark": "item_id", "embeddings": "vec_id"}
@@ -34,7 +34,8 @@ def library_documents(spark: SparkSession, folder: str, with_pii: bool = False)
     """
     docs = table(spark, folder, "documents").withColumn("digest", F.sha2("text", 256))
     groups = docs.groupBy("digest").agg(F.max("doc_id").alias("newest"), F.count(F.lit(1)).alias("c"))
-    docs = lookup_join(docs, groups.filter("c > 1").select("digest", "newest"), ["digest"], "left", salt=F.xxhash64("doc_id"))
+    copies = materialise(groups.filter("c > 1").select("digest", "newest"), "copies")
+    docs = lookup_join(docs, copies, ["digest"], "left", salt=F.xxhash64("doc_id"))
     status = F.when(F.col("newest") > F.col("doc_id"), "superseded").otherwise("current")
     found = pii.counts(pii.spans("text")) if with_pii else F.lit(None).cast("map<string,int>")
     return docs.select(

@@ -4,6 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from docvault import fixed_values as V
 from docvault.operators import access, passages, validation
 from docvault.sources import audit, library, uploads
 
@@ -99,15 +100,27 @@ def _docx(text):
 
 
 def test_uploads(spark):
-    files = [("offer.docx", _docx("The joining bonus is 5,000.")), ("tool.exe", b"MZ"), ("big.txt", b"a" * (5 * 1024 * 1024 + 1)),
-             ("tiny.md", b"short"), ("bad.docx", b"nope"), ("a/b/notes.TXT", "مرحبا بكم في ملف الرفع الجديد".encode())]
-    rows = spark.createDataFrame([("session01", n, bytearray(c)) for n, c in files], "sid string, name string, content binary")
+    """Each way in which a file can be taken or refused."""
+    files = [("star map.docx", _docx("Vega sets at <b>04:12</b> &lt;UT&gt; in June.")), ("sky.tar.gz", b"\x1f\x8b0"), ("plates.csv.md", b"x," * (V.MAX_UPLOAD_BYTES // 2 + 1)),
+             ("dot.txt", b" .\n"), ("cut.docx", _docx("Half a file")[:40]), ("C:\\sky\\ليلة.TXT", "يفتح المرصد أبوابه للزوار مساء كل خميس".encode("cp1256"))]
+    rows = spark.createDataFrame([("observer01", n, bytearray(c)) for n, c in files], "sid string, name string, content binary")
     rows = rows.withColumn("created", F.lit("2024-05-01 10:00:00").cast("timestamp"))
-    got = {r.title: r for r in uploads.upload_documents(uploads.extract(rows)).collect()}
-    assert got["offer.docx"].text == "The joining bonus is 5,000.\nEnd &amp; more text here" and got["offer.docx"].error is None
-    assert {t: r.error for t, r in got.items() if r.error} == {
-        "tool.exe": "unsupported_type", "big.txt": "too_large", "tiny.md": "no_text", "bad.docx": "unreadable"}
-    assert got["notes.TXT"].lang == "ar" and got["notes.TXT"].id.startswith("up_") and len(got["notes.TXT"].access) == 6
+    got = sorted(uploads.upload_documents(uploads.extract(rows)).collect(), key=lambda r: r.title)
+    errors = {r.title: r.error for r in got}
+    assert errors.pop("star map.docx") is None and sorted(v or "" for v in errors.values()) == sorted(["unsupported_type", "too_large", "no_text", "unreadable", ""])
+    taken = {r.lang: r for r in got if r.error is None}
+    assert taken["en"].text.startswith("Vega sets at 04:12") and "خميس" in taken["ar"].text
+    assert all(r.id.startswith("up_") and len(r.access) == 6 for r in taken.values()) and len({r.id for r in taken.values()}) == 2
+
+
+def test_uploads_are_audited(spark, tmp_path):
+    rows = spark.createDataFrame([("observer01", "up_1", "log.md", {"passport": 2, "email": 1}), ("observer01", "up_2", "map.md", None)],
+                                 "coll string, id string, title string, pii map<string,int>").withColumn("created", F.lit("2024-05-01 10:00:00").cast("timestamp"))
+    audit.append_audit(audit.upload_rows(rows, F.xxhash64("id"), F.lit(3)), str(tmp_path / "audit"))
+    back = audit.read_audit(spark, str(tmp_path / "audit"))
+    assert sorted((r.kind, r.session, r.question, r.docs, r.masked, r.ms) for r in back.collect()) == [
+        ("upload", "observer01", "log.md", "up_1", 3, 3), ("upload", "observer01", "map.md", "up_2", 0, 3)]
+    assert audit.totals(back).first().questions == 0
 
 
 def test_audit_round_trip(spark, tmp_path):
