@@ -36,10 +36,11 @@ from docvault.session import fresh_path, is_small, lookup_join, materialise
 
 LENGTH = 50
 GRAM = 16
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 8 << 20      # text per bucket of keys
+BLOCK_BYTES = 2 << 20
+BUCKET_BYTES = 4 << 20      # text per bucket of keys
 HOT_SPANS = 100_000         # beyond so many spans a key is replaced by its windows' hashes
 LAST = (1 << 63) - 1        # a null id
+WINDOW_BYTES = 256 << 10    # text whose windows are hashed at once
 _TOP = np.iinfo(np.uint64).max
 
 
@@ -47,7 +48,7 @@ def window_runs(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> t
     """Runs of windows with one key: first place, number of windows, key, document."""
     width = length - GRAM + 1
     found = []
-    for low, high in W.chunks(offsets):
+    for low, high in W.chunks(offsets, WINDOW_BYTES):
         part, own = raw[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
         n = len(part) - GRAM + 1
         if n < width:
@@ -87,7 +88,7 @@ def _span_hashes(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.nda
     out = np.zeros(len(begin), np.uint64)
     low = 0
     while low < len(begin):
-        high = max(low + 1, int(np.searchsorted(begin, begin[low] + W.CHUNK_BYTES)))
+        high = max(low + 1, int(np.searchsorted(begin, begin[low] + WINDOW_BYTES)))
         a = int(begin[low])
         stop = int((begin[low:high] + size[low:high]).max())
         sums, down = W.running(raw[a:stop])
@@ -223,8 +224,10 @@ def _packed_blocks(rows: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def _one(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, Block, dict]]:
-    for row in batch.to_pylist():
+    for k in range(len(batch)):
+        row = {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
         yield row["block"], Block(row["ids"], row["ends"], row["text"], length), row
+        W.release()
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (),
@@ -307,12 +310,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 heads = block.heads
                 bucket = (block.s_key[heads] % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-                    mine = heads[own]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(bucket[own[0]])]), pa.array([number]), pa.array([own.astype(np.uint32).tobytes()], pa.binary()), pa.array([block.least[own].tobytes()], pa.binary()),
-                         pa.array([block.s_size[mine].astype(np.uint32).tobytes()], pa.binary()), pa.array([_gather(block.raw, block.s_begin[mine], block.s_size[mine]).tobytes()], pa.binary())],
-                        ["bucket", "block", "heads", "ids", "sizes", "spans"])
+                cut = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+                binary = lambda f, cut=cut: pa.array([f(own, block.heads[own]).tobytes() for own in cut], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(bucket[own[0]]) for own in cut], pa.int64()), pa.array([number] * len(cut), pa.int64()), binary(lambda own, mine: own.astype(np.uint32)),
+                     binary(lambda own, mine: block.least[own]), binary(lambda own, mine: block.s_size[mine].astype(np.uint32)),
+                     binary(lambda own, mine: _gather(block.raw, block.s_begin[mine], block.s_size[mine]))],
+                    ["bucket", "block", "heads", "ids", "sizes", "spans"])
 
     def answer_spans(group: pd.DataFrame) -> pd.DataFrame:
         sizes = np.frombuffer(b"".join(group["sizes"]), np.uint32).astype(np.int64)
@@ -334,6 +338,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         row = np.searchsorted(row_ends, span, "right")
         cut = np.split(np.arange(len(low)), np.flatnonzero(np.diff(row)) + 1) if len(low) else []
         block = group["block"].to_numpy()
+        W.release()
         return pd.DataFrame({"block": np.array([block[row[x[0]]] for x in cut], np.int64), "runs": [
             np.stack([heads[span[x]], low[x] - base[x], high[x] - base[x] + 1]).astype(np.uint32).tobytes() for x in cut]})
 

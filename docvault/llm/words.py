@@ -23,6 +23,14 @@ def worker_cache(name: str, make: Callable):
     return store[name]
 
 
+def release() -> None:
+    """Give freed memory back to the system, where the C library can; else a worker keeps the most it ever used."""
+    import ctypes
+    trim = worker_cache("trim", lambda: getattr(ctypes.CDLL(None), "malloc_trim", None))
+    if trim is not None:
+        trim(0)
+
+
 def _tables():
     draw = np.random.default_rng(20261)
     separator = np.zeros(256, bool)
@@ -98,9 +106,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     have = worker_cache("powers", lambda: [np.ones(0, np.uint64)] * 2)
     if len(have[0]) <= n:
-        base, size = 0x9E3779B97F4A7C15, max(n + 1, CHUNK_BYTES * 2)
+        base, size = 0x9E3779B97F4A7C15, max(n + 1, CHUNK_BYTES // 2)
         for k, step in enumerate((base, pow(base, -1, 1 << 64))):
-            steps = np.full(size, step, np.uint64)
+            steps = np.full(size + size // 4, step, np.uint64)
             steps[0] = 1
             have[k] = np.cumprod(steps)
     return have[0], have[1]
