@@ -25,7 +25,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16                # of each width
 DEPTH = 8                   # of a byte's embedding
 UNKNOWN = "und"
-BATCH = 512
+BATCH = 96
 
 
 class ByteNetwork:
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, network: ByteNetwork | None, languages: list[str],
         net, order = model.value
         ascii_letter = np.zeros(256, bool)
         ascii_letter[[*range(65, 91), *range(97, 123)]] = True
-        for batch in batches:
+        for batch in W.slices(batches):
             raw_all, offsets_all = W.utf8(batch.column(0))
             for low, high in W.chunks(offsets_all):
                 raw, offsets = raw_all[offsets_all[low]:offsets_all[high]], offsets_all[low:high + 1] - offsets_all[low]

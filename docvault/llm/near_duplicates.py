@@ -124,7 +124,7 @@ def _known(key: Column) -> Column:
 def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each row: ``_id``, ``_hash`` of the text, ``_n`` shingles, ``_class`` (from the set alone), ``_registers``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.slices(batches):
             raw, offsets = W.terminated(batch.column(1))
             for low, high in W.chunks(offsets):
                 hashes, firsts = distinct_shingles(raw[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], size)
@@ -258,7 +258,7 @@ def _sets(classes: DataFrame, docs: DataFrame, size: int, id_col: str, text_col:
     texts = lookup_join(texts, wanted, ["_id", "_hash"], salt=F.length("_text"), fits=is_small(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.slices(batches):
             raw, offsets = W.terminated(batch.column(batch.schema.get_field_index("_text")))
             of = batch.column(batch.schema.get_field_index("_class"))
             for low, high in W.chunks(offsets):

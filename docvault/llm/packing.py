@@ -1,8 +1,9 @@
 """Packing of token ids into fixed windows, in document order, with cuts chosen by dynamic programming.
 
-Candidate cuts are ends of documents, ends of sentences and, inside a sentence that no window could hold, every
-``STEP`` ids. A window costs its padding plus the penalty of its closing cut; the cheapest sequence of cuts comes from a
-window minimum kept in a monotone queue, so each candidate enters and leaves the queue once.
+Candidate cuts are ends of documents, ends of sentences and, where a sentence has to be truncated, every ``STEP`` ids inside
+it. A window costs its padding plus the penalty of its closing cut, so a sentence is truncated only where keeping it whole
+would leave more padding than that penalty. The cheapest sequence of cuts comes from a window minimum kept in a monotone
+queue, so each candidate enters and leaves the queue once.
 
 Texts are sorted by id across tasks. A task packs blocks of bounded size, so its memory doesn't grow with its range. A null
 text is empty and gives the closing id only. Repeated ids are packed as separate documents; null ids come first.
@@ -20,13 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docvault.llm import words as W
 from docvault.llm.pieces import encoder
 
 WINDOW = 1024
 SENTENCE_PENALTY = 2        # ids of padding that a cut at the end of a sentence is worth
-INSIDE_PENALTY = 64         # the same inside a sentence longer than a window
-STEP = 64
-BLOCK_IDS = 2_000_000       # ids packed together
+INSIDE_PENALTY = 20         # the same inside a sentence
+STEP = 16
+BLOCK_IDS = 1_000_000       # ids packed together
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -51,22 +53,22 @@ def choose_cuts(places: list[int], penalties: list[int], window: int) -> list[in
     return cuts[::-1]
 
 
-def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int) -> tuple[list[int], list[int]]:
-    """Places of cuts with their penalties; gaps longer than a window get cuts inside."""
+def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[list[int], list[int]]:
+    """Places of cuts with their penalties; no gap is longer than ``STEP``."""
     places = np.unique(np.concatenate([[0], doc_ends, sentence_ends]))
-    gaps = np.diff(places)
-    long = np.flatnonzero(gaps > window)
-    inside = np.concatenate([np.arange(places[k] + STEP, places[k + 1], STEP) for k in long]) if len(long) else np.zeros(0, np.int64)
-    everything = np.union1d(places, inside).astype(np.int64)
+    number = np.maximum((np.diff(places) - 1) // STEP, 0)      # cuts inside each gap
+    inside = np.repeat(places[:-1], number) + STEP * (np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number) + 1)
+    everything = np.concatenate([places, inside])
     penalties = np.full(len(everything), SENTENCE_PENALTY)
-    penalties[np.isin(everything, inside)] = INSIDE_PENALTY
-    penalties[np.isin(everything, doc_ends)] = 0
-    return everything.tolist(), penalties.tolist()
+    penalties[len(places):] = INSIDE_PENALTY
+    penalties[np.searchsorted(places, doc_ends)] = 0
+    order = np.argsort(everything, kind="stable")
+    return everything[order].tolist(), penalties[order].tolist()
 
 
 def pack_block(ids: np.ndarray, doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int = WINDOW) -> dict[str, np.ndarray]:
     """Pieces of the documents of a block: document, start, length, crc, document's ids, sequence, offset."""
-    cuts = np.array(choose_cuts(*candidates(doc_ends, sentence_ends, window), window), np.int64)
+    cuts = np.array(choose_cuts(*candidates(doc_ends, sentence_ends), window), np.int64)
     edges = np.union1d(np.concatenate([[0], cuts]), doc_ends)
     a, b = edges[:-1], edges[1:]
     document, sequence = np.searchsorted(doc_ends, a, "right"), np.searchsorted(cuts, a, "right")
@@ -109,7 +111,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "
             names, runs, ends, sentences, held = [], [], [], [], 0
             yield pa.RecordBatch.from_arrays(out, kinds)
 
-        for batch in batches:
+        for batch in W.slices(batches):
             keys = batch.column(0).to_pylist()
             for low, found, before, raw, starts, piece_ids in encoder(tokenizer).documents(batch.column(1)):
                 n = len(before) - 1

@@ -18,6 +18,8 @@ import pyarrow as pa
 from docvault.llm import words as W
 
 KNOWN_IDS = 4_000_000       # ids held for known pieces, per worker
+KNOWN_PIECES = 1_200_000    # pieces held
+_SLOTS = 22                 # two to this power: slots of the look-up table
 CHUNK_BYTES = 4 << 20
 
 
@@ -67,6 +69,37 @@ def expand(at: np.ndarray, lengths: np.ndarray, pool: np.ndarray) -> np.ndarray:
     return pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at - ends + lengths, lengths)]
 
 
+class Known:
+    """A table from 64-bit hashes to numbers in two flat arrays; all look-ups of a text's pieces go together."""
+
+    def __init__(self):
+        self.keys, self.numbers = np.zeros(1 << _SLOTS, np.uint64), np.zeros(1 << _SLOTS, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each key, or -1."""
+        out, open_, slot = np.full(len(keys), -1, np.int64), np.arange(len(keys)), self._slot(keys)
+        while len(open_):
+            met = self.keys[slot[open_]]
+            hit = met == keys[open_]
+            out[open_[hit]] = self.numbers[slot[open_[hit]]]
+            open_ = open_[~hit & (met != 0)]
+            slot[open_] = (slot[open_] + 1) & ((1 << _SLOTS) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct keys that aren't there yet."""
+        open_, slot = np.arange(len(keys)), self._slot(keys)
+        while len(open_):
+            free = open_[self.keys[slot[open_]] == 0]
+            first = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[first]], self.numbers[slot[first]] = keys[first], numbers[first]
+            open_ = open_[self.keys[slot[open_]] != keys[open_]]
+            slot[open_] = (slot[open_] + 1) & ((1 << _SLOTS) - 1)
+
+
 class Encoder:
     """A tokenizer with the pieces it has met."""
 
@@ -93,43 +126,45 @@ class Encoder:
         return found
 
     def _clear(self):
-        self.slot_of: dict[int, int] = {}
-        self.at, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.known, self.count = Known(), 0
+        self.at, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.pool, self.used = np.zeros(1 << 18, np.int32), 0
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        for key, ids in zip(keys, self._ids(texts), strict=True):
-            slot = len(self.slot_of)
-            if slot == len(self.at):
-                self.at, self.length = np.resize(self.at, 2 * slot), np.resize(self.length, 2 * slot)
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * (self.used + len(ids)))
-            self.at[slot], self.length[slot] = self.used, len(ids)
-            self.pool[self.used:self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.slot_of[key] = slot
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Numbers of new pieces."""
+        found = self._ids(texts)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        numbers = np.arange(self.count, self.count + len(keys))
+        ends = self.used + np.cumsum(lengths)
+        while len(self.at) < self.count + len(keys):
+            self.at, self.length = np.resize(self.at, 2 * len(self.at)), np.resize(self.length, 2 * len(self.at))
+        if int(ends[-1]) > len(self.pool):
+            self.pool = np.resize(self.pool, int(ends[-1]) + len(self.pool) // 2)
+        self.pool[self.used:int(ends[-1])] = np.fromiter((i for ids in found for i in ids), np.int32, int(lengths.sum()))
+        self.at[numbers], self.length[numbers] = ends - lengths, lengths
+        self.known.add(keys, numbers)
+        self.count, self.used = self.count + len(keys), int(ends[-1])
+        return numbers
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts end to end, starts of the pieces in bytes, ids before each piece (pieces + 1)."""
         starts = piece_starts(raw, offsets)
         ends = np.append(starts[1:], len(raw))
-        hashes = pa.array(W.span_hashes(raw, starts, ends)).dictionary_encode()
-        keys, which = hashes.dictionary.to_pylist(), hashes.indices.to_numpy()
-        if self.used > KNOWN_IDS:
+        hashes = pa.array(np.maximum(W.span_hashes(raw, starts, ends), np.uint64(1))).dictionary_encode()
+        keys, which = hashes.dictionary.to_numpy(), hashes.indices.to_numpy()
+        if self.used > KNOWN_IDS or self.count > KNOWN_PIECES:
             self._clear()
-        get = self.slot_of.get
-        slots = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
+        slots = self.known.find(keys)
         new = np.flatnonzero(slots < 0)
         if len(new):
             first = np.empty(len(keys), np.int64)
             first[which[::-1]] = np.arange(len(which))[::-1]
-            self._learn([keys[k] for k in new], [raw[starts[i]:ends[i]].tobytes().decode("utf-8") for i in first[new]])
-            slots[new] = [self.slot_of[keys[k]] for k in new]
+            slots[new] = self._learn(keys[new], [raw[starts[i]:ends[i]].tobytes().decode("utf-8") for i in first[new]])
         of = slots[which] if len(which) else np.zeros(0, np.int64)
-        lengths = self.length[of]
+        lengths = self.length[of].astype(np.int64)
         before = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(lengths, out=before[1:])
-        return expand(self.at[of], lengths, self.pool), starts, before
+        return expand(self.at[of].astype(np.int64), lengths, self.pool), starts, before
 
     def documents(self, column):
         """For runs of documents: first document, ids, ids before each document (len + 1), raw bytes, piece starts, ids before pieces."""

@@ -108,7 +108,7 @@ def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         packer = zstandard.ZstdCompressor(level=3, write_content_size=False)
-        for batch in batches:
+        for batch in W.slices(batches):
             raw_all, offsets_all = W.terminated(batch.column(1))
             for low, high in W.chunks(offsets_all):
                 raw, offsets = raw_all[offsets_all[low]:offsets_all[high]], offsets_all[low:high + 1] - offsets_all[low]

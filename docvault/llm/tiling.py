@@ -157,7 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = sent.value
-            for batch in batches:
+            for batch in W.slices(batches):
                 raw, offsets = W.terminated(batch.column(1))
                 names = batch.column(0)
                 for low, high in W.chunks(offsets):

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docvault.llm import words as W
 from docvault.llm.pieces import encoder, expand
 from docvault.session import materialise
 
@@ -210,7 +211,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
                 done.append((part, shard, name, len(keys), held))
             keys, runs, sizes, held, shard = [], [], [], 0, shard + 1
 
-        for batch in batches:
+        for batch in W.slices(batches):
             names = batch.column(0).to_pylist()
             for low, ids, before, *_ in encoder(tokenizer).documents(batch.column(1)):
                 size = np.diff(before) + 1

@@ -31,6 +31,14 @@ def release() -> None:
         trim(0)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of so many rows, so that copies of texts stay small; freed memory goes back after each batch."""
+    for batch in batches:
+        for low in range(0, len(batch), rows):
+            yield batch.slice(low, rows)
+        release()
+
+
 def _tables():
     draw = np.random.default_rng(20261)
     separator = np.zeros(256, bool)
