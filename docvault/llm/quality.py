@@ -1,8 +1,10 @@
 """Quality rules on counts of words and lines, and bands of Zstandard ratios.
 
 A text is rejected as repetitive where it compresses too well, as incompressible where it hardly compresses. Limits depend
-on the length in bytes, because short texts give a compressor little to refer to. Fixed chunks are judged as well, so that
-a spoiled part of a long text isn't hidden by the rest: a text fails when too large a share of its chunks does.
+on the length in bytes, because short texts give a compressor little to refer to. Chunks that cover the text are judged as
+well, so that a spoiled part isn't hidden by the rest: a text fails when chunks with too large a share of its bytes do. Texts
+under two chunks of 4,096 bytes are cut into smaller ones, with the limits of texts of that length; a text under two of the
+smallest is one chunk by itself.
 
 A null text is empty, has no words and fails the base rules. Every row is judged alone; repeated rows are judged alike.
 """
@@ -26,8 +28,9 @@ MOST_REPEATED = 50          # percent of words in repeated windows of three
 # Least number of bytes, lowest and highest ratio of compressed to plain bytes.
 WHOLE_BANDS = [(0, 0.0, 10.0), (256, 0.30, 0.85), (512, 0.25, 0.80), (1024, 0.22, 0.70), (2048, 0.20, 0.64), (4096, 0.18, 0.60), (16384, 0.15, 0.55)]
 CHUNK_BYTES = 4096
+LEAST_CHUNK = 256
 CHUNK_BAND = (0.15, 0.65)
-MOST_BAD_CHUNKS = 0.5
+MOST_BAD_CHUNKS = 0.5       # share of the bytes
 FIELDS = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
           "base_failed boolean, kept boolean, ratio double, n_chunks long, n_bad_chunks long, reason string")
 
@@ -84,6 +87,11 @@ def counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
             "n_dup_lines": again, "n_repeat_words": np.bincount(word_doc[covered], minlength=n)}
 
 
+def chunk_size(n: int) -> int:
+    """Bytes of a chunk of a text of ``n`` bytes: a power of two, at least two chunks where the text is long enough."""
+    return n if n < 2 * LEAST_CHUNK else min(CHUNK_BYTES, 1 << ((n // 2).bit_length() - 1))
+
+
 def judge(text: memoryview, packer) -> tuple[float, int, int, str | None]:
     """Ratio of the whole text, number of chunks, chunks outside their band, and why it is rejected."""
     n = len(text)
@@ -92,14 +100,21 @@ def judge(text: memoryview, packer) -> tuple[float, int, int, str | None]:
     ratio = len(packer.compress(text)) / n
     low, high = band(n)
     reason = "repetitive" if ratio < low else "incompressible" if ratio > high else None
-    bad = chunks = 0
-    if n >= 2 * CHUNK_BYTES:
-        for at in range(0, n - CHUNK_BYTES + 1, CHUNK_BYTES):
-            own = len(packer.compress(text[at:at + CHUNK_BYTES])) / CHUNK_BYTES
-            chunks += 1
-            bad += not CHUNK_BAND[0] <= own <= CHUNK_BAND[1]
-        if reason is None and bad > MOST_BAD_CHUNKS * chunks:
-            reason = "chunks"
+    size = chunk_size(n)
+    if size == n:
+        return ratio, 1, int(reason is not None), reason
+    least, most = CHUNK_BAND if size == CHUNK_BYTES else band(size)
+    bad = chunks = spoiled = 0
+    for at in range(0, n, size):
+        # The last chunk ends with the text; it answers for the bytes that no chunk before it holds.
+        begin = min(at, n - size)
+        own = len(packer.compress(text[begin:begin + size])) / size
+        chunks += 1
+        if not least <= own <= most:
+            bad += 1
+            spoiled += begin + size - at
+    if reason is None and spoiled > MOST_BAD_CHUNKS * n:
+        reason = "chunks"
     return ratio, chunks, bad, reason
 
 

@@ -54,6 +54,26 @@ def test_bands_agree_with_labels(spark):
     assert good.filter(F.col("reason").isNotNull()).count() <= 0.01 * good.count()
 
 
+def test_chunks_cover_every_text():
+    """A spoiled tail and a spoiled part of a short text count by their bytes."""
+    import zstandard
+    packer = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    draw = np.random.default_rng(5)
+    words = ["".join(map(chr, draw.integers(97, 123, int(n)))) for n in draw.integers(2, 10, 900)]
+    prose = lambda n: " ".join(words[k] for k in (draw.random(n) ** 2 * len(words)).astype(int)).encode()[:n]
+    judge = lambda *parts: quality.judge(memoryview(b"".join(parts)), packer)[1:]
+    junk = lambda n: base64.b64encode(draw.bytes(n))[:n]
+    # One clean chunk, one spoiled chunk and a spoiled tail of 4,095 bytes.
+    assert judge(prose(4096), b"ha " * 1365 + b"h", (b"ha " * 1365))[:2] == (3, 2)
+    assert judge(prose(4096), b"ha " * 1365 + b"h", prose(4095))[:2] == (3, 1)
+    for n in (256, 512, 1024, 2048, 4096):
+        assert judge(*[prose(n) for _ in range(3)])[1:] == (0, None)
+        assert judge(prose(n), b"ha " * n)[0] == -(-4 * n // quality.chunk_size(4 * n))
+    # Half of a text under 8 KiB is spoiled both ways; the whole text is within its limits.
+    assert judge(prose(1024), (b"ha " * 342)[:1024], junk(1024), prose(928)) == (4, 2, "chunks")
+    assert quality.judge(memoryview(prose(300)), packer)[1:] == (1, 0, None) and quality.judge(memoryview(b""), packer) == (1.0, 0, 0, None)
+
+
 def _greedy(text, item, least):
     """String tiling as first described: all maximal matches of free words, longest first, until none is left."""
     used_t, used_i, covered = [False] * len(text), [False] * len(item), 0
