@@ -14,11 +14,11 @@ from docvault.session import is_small, lookup_join, materialise
 
 LEAST_LANGUAGE_SCORE = 0.4
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-_NONE = -(1 << 63)
 
 
-def _key(column: str = "doc_id") -> Column:
-    return F.coalesce(F.col(column), F.lit(_NONE))
+def _keys(text_hash: Column) -> dict[str, Column]:
+    """What tells rows apart: the id, null or not, and the text."""
+    return {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "text_hash": text_hash}
 
 
 def _without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
@@ -36,15 +36,18 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near copies; of repeated rows one stays."""
-    found = materialise(near_duplicates.near_duplicates(docs).select(_key().alias("_id"), "text_hash", "kept"), "kept")
-    left = _without(docs, found.filter("not kept").select("_id", "text_hash"), {"_id": _key(), "text_hash": F.xxhash64("text")})
-    again = materialise(found.filter("kept").groupBy("_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id", "text_hash"), "again")
+    own = _keys(F.xxhash64("text"))
+    names = list(own)
+    found = near_duplicates.near_duplicates(docs).select(*[c.alias(k) for k, c in _keys(F.col("text_hash")).items()], "kept")
+    found = materialise(found, "kept")
+    left = _without(docs, found.filter("not kept").select(names), own)
+    again = materialise(found.filter("kept").groupBy(names).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(names), "again")
     if again.isEmpty():
         return left
-    keyed = left.withColumns({"_id": _key(), "text_hash": F.xxhash64("text")})
+    keyed = left.withColumns(own)
     few = is_small(again)
-    once = lookup_join(keyed, again, ["_id", "text_hash"], "left_anti", fits=few)
-    repeated = lookup_join(keyed, again, ["_id", "text_hash"], "left_semi", fits=few).dropDuplicates(["_id", "text_hash"])
+    once = lookup_join(keyed, again, names, "left_anti", fits=few)
+    repeated = lookup_join(keyed, again, names, "left_semi", fits=few).dropDuplicates(names)
     return once.unionByName(repeated).select(*docs.columns)
 
 
@@ -57,7 +60,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def without_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold most of a test item, whole or in another order."""
     found = tiling.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.select(_key().alias("_id")), {"_id": _key()})
+    gone = found.select(*[c.alias(k) for k, c in _keys(F.col("text_hash")).items()])
+    return _without(docs, gone, _keys(F.xxhash64("text")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ def op5_compression_bands(spark, folder):
 @query
 def op6_tiling(spark, folder):
     """Documents that hold most of a test item, in any order of its passages."""
-    return tiling.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return tiling.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("text_hash")
 
 
 @query

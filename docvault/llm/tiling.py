@@ -24,7 +24,7 @@ from docvault.llm import words as W
 SEED_WORDS = 5
 COVERAGE = 0.6
 BLOCK_BYTES = 32 << 20      # benchmark text that goes to the tasks at once
-FIELDS = "doc_id long, item_id long, item_words long, covered_words long, n_tiles long, longest_tile long, coverage double"
+FIELDS = "doc_id long, item_id long, item_words long, covered_words long, n_tiles long, longest_tile long, coverage double, text_hash long"
 
 
 def _trim(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,13 +142,13 @@ class Items:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                  item_text_col: str = "text", seed: int = SEED_WORDS, coverage: float = COVERAGE) -> DataFrame:
-    """Pairs of a document and a test item of which tiles cover at least ``coverage``: ids, words, tiles, coverage."""
+    """Pairs of a document and a test item of which tiles cover at least ``coverage``: ids, words, tiles, coverage, hash of the text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("_item"), F.col(item_text_col).cast("string").alias("_text"),
                              F.octet_length(item_text_col).alias("_size")).filter("_size > 0")
     total = items.agg(F.sum("_size")).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(text_col).alias("_hash"))
     found = None
     for block in range(blocks):
         # One block of bounded size at a time reaches the driver and the tasks.
@@ -159,16 +159,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             own = sent.value
             for batch in W.slices(batches):
                 raw, offsets = W.terminated(batch.column(1))
-                names = batch.column(0)
+                names, texts = batch.column(0), batch.column(2)
                 for low, high in W.chunks(offsets):
                     words, firsts = word_hashes(raw[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low])
                     out = []
                     for t, i, tiles in own.matches(words, firsts):
                         size, covered = int(own.firsts[i + 1] - own.firsts[i]), sum(n for _, _, n in tiles)
                         if covered >= coverage * size:
-                            out.append((names[low + t].as_py(), own.keys[i], size, covered, len(tiles), max(n for _, _, n in tiles), covered / size))
+                            out.append((names[low + t].as_py(), own.keys[i], size, covered, len(tiles), max(n for _, _, n in tiles), covered / size, texts[low + t].as_py()))
                     if out:
-                        kinds = [pa.int64()] * 6 + [pa.float64()]
+                        kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [f.split()[0] for f in FIELDS.split(", ")])
 
         pairs = rows.mapInArrow(run, FIELDS)

@@ -70,3 +70,14 @@ def test_odd_rows(spark, odd, none, tmp_path):
         bench.limit(3 if k == 0 else 0).write.parquet(f"{folder}/benchmark.parquet")
         out = corpus_pipeline.run(spark, folder).collect()
         assert (len(out) == 0) == (k == 1)
+
+
+def test_decontamination_judges_rows(spark, tmp_path):
+    """Of rows that share an id, null or not, only those with a contaminated text go."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"so {item} it says", "en", "s", 1), (None, "a clean text of its own", "en", "s", 1), (7, item, "en", "s", 1), (7, "another clean text", "en", "s", 1), (0, "third clean text", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.without_tests(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == [(0, "third clean text"), (7, "another clean text"), (None, "a clean text of its own")]
