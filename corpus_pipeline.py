@@ -35,13 +35,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies; of repeated rows one stays."""
+    """Keep one row of each group of near copies: of the smallest id, null last, and of its texts one; of repeated rows one stays."""
     own = _keys(F.xxhash64("text"))
     names = list(own)
-    found = near_duplicates.near_duplicates(docs).select(*[c.alias(k) for k, c in _keys(F.col("text_hash")).items()], "kept")
-    found = materialise(found, "kept")
-    left = _without(docs, found.filter("not kept").select(names), own)
-    again = materialise(found.filter("kept").groupBy(names).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(names), "again")
+    found = near_duplicates.near_duplicates(docs).select(*[c.alias(k) for k, c in _keys(F.col("text_hash")).items()], "chosen")
+    found = materialise(found, "chosen")
+    left = _without(docs, found.filter("not chosen").select(names), own)
+    again = materialise(found.filter("chosen").groupBy(names).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(names), "again")
     if again.isEmpty():
         return left
     keyed = left.withColumns(own)

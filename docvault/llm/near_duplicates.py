@@ -271,15 +271,18 @@ def _sets(classes: DataFrame, docs: DataFrame, size: int, id_col: str, text_col:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable), kept (the id is the component's), text_hash.
+    """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable), kept (the id is the component's), text_hash, chosen.
 
-    Linked are documents whose sets of ``size`` words share ``percent`` percent of their union.
+    ``chosen`` is true for one id and text of each component, the smallest id (null last) and then the smallest hash; rows that
+    repeat both are all chosen. Linked are documents whose sets of ``size`` words share ``percent`` percent of their union.
     """
     rows = materialise(signatures(docs, size, id_col, text_col), "signatures")
+    # Rows in the order in which one of them stands for its class or component.
+    pick = F.struct(F.col("_id").isNull().alias("_none"), _known(F.col("_id")).alias("_id"), "_hash")
     # Classes of equal sets; partial counts keep a text with very many copies in no single task.
     classes = materialise(rows.filter("_class is not null").groupBy("_class").agg(
         F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_rows"), F.first("_n").alias("_n"), F.first("_registers").alias("_registers"),
-        F.min(F.struct(_known(F.col("_id")).alias("_id"), "_hash")).alias("_pick")), "classes")
+        F.min(pick).alias("_pick")), "classes")
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("_registers", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])
     banded = classes.select("_class", F.posexplode(keys).alias("_band", "_key"))
     sizes = banded.groupBy("_key").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
@@ -300,10 +303,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     # The smallest id of each component; classes of one row without links name themselves.
     linked = components(links).select(F.col("node").alias("_class"), F.col("component").alias("_part"))
     named = classes.join(linked, "_class", "left").filter("_rows > 1 or _part is not null")
-    named = named.select("_class", "_least", F.coalesce("_part", "_class").alias("_part"))
-    names = named.groupBy("_part").agg(F.min("_least").alias("_component"))
-    named = materialise(lookup_join(named, names, ["_part"], salt=F.col("_class"), fits=False, salts=8).select("_class", "_component"), "named")
+    named = named.select("_class", "_least", "_pick", F.coalesce("_part", "_class").alias("_part"))
+    names = named.groupBy("_part").agg(F.min("_least").alias("_component"), F.min("_pick").alias("_chosen"))
+    named = materialise(lookup_join(named, names, ["_part"], salt=F.col("_class"), fits=False, salts=8).select("_class", "_component", "_chosen"), "named")
     out = lookup_join(rows.select("_id", "_hash", "_n", "_class"), named.withColumn("_named", F.lit(True)), ["_class"], "left", salt=F.xxhash64("_id"), fits=is_small(named))
     component = F.when(F.col("_named"), F.col("_component")).otherwise(F.col("_id"))
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("_id").eqNullSafe(component).alias("kept"), F.col("_hash").alias("text_hash"))
+                      F.col("_id").eqNullSafe(component).alias("kept"), F.col("_hash").alias("text_hash"),
+                      F.when(F.col("_named"), pick == F.col("_chosen")).otherwise(F.lit(True)).alias("chosen"))

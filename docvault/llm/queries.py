@@ -129,7 +129,7 @@ def op8_language(spark, folder):
 @query
 def op9_hyperminhash(spark, folder):
     """Components of documents that share 85 percent of their runs of three words."""
-    return near_duplicates.near_duplicates(_table(spark, folder, "documents"), size=3, percent=85).drop("text_hash")
+    return near_duplicates.near_duplicates(_table(spark, folder, "documents"), size=3, percent=85).drop("text_hash", "chosen")
 
 
 ORACLES["op9_hyperminhash"] = r"""

@@ -81,3 +81,13 @@ def test_decontamination_judges_rows(spark, tmp_path):
     kept = corpus_pipeline.without_tests(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == [(0, "third clean text"), (7, "another clean text"), (None, "a clean text of its own")]
+
+
+def test_one_of_each_judges_rows(spark):
+    """One row of each group of near copies stays where ids are null or shared, and where rows repeat."""
+    text = lambda name, end="": " ".join(f"{name}{k}" for k in range(60)) + end
+    rows = [(None, text("a")), (None, text("a", " more")), (None, text("a", " other")), (5, text("b")), (5, text("b", " more")), (9, text("b", " other")),
+            (None, text("c")), (3, text("c", " more")), (None, text("d")), (None, text("d")), (5, text("e")), (None, text("f")), (-(1 << 63), text("g")), (None, text("g"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = sorted(((r.text[0], r.doc_id) for r in corpus_pipeline.one_of_each(spark, docs, FOLDER).collect()), key=repr)
+    assert kept == sorted([("a", None), ("b", 5), ("c", 3), ("d", None), ("e", 5), ("f", None), ("g", -(1 << 63))], key=repr)
