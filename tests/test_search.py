@@ -105,6 +105,28 @@ def test_dense_blocks_agree_with_brute_force(spark):
         assert sorted((r.qid, r.doc, r["rank"]) for r in got.collect()) == sorted(want)
 
 
+def test_dense_blocks_are_finished_one_by_one(spark, monkeypatch):
+    """However many blocks, the plan reads one table, and each broadcast is gone before the next is made."""
+    vectors = spark.createDataFrame([("library", i, 0, 1, False, [float(i), 1.0]) for i in range(9)],
+                                    "coll string, doc bigint, n int, mask int, superseded boolean, vec array<double>")
+    questions = spark.createDataFrame([(i, 1, "library", [1.0, 0.0]) for i in range(40)], "qid bigint, bit int, coll string, qvec array<double>")
+    steps, make = [], type(spark.sparkContext).broadcast
+
+    def broadcast(self, value):
+        held = make(self, value)
+        gone = held.unpersist
+        monkeypatch.setattr(held, "unpersist", lambda *a: (steps.append("gone"), gone(*a)), raising=False)
+        steps.append("made")
+        return held
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    got = dense.dense_top(vectors, questions, 2, block=10)
+    assert steps == ["made", "gone"] * 4
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and "Union" not in plan
+    assert sorted((r.qid, r.doc, r["rank"]) for r in got.collect()) == sorted((i, 8 - k, k) for i in range(40) for k in range(2))
+
+
 def test_lookup_join_without_broadcast(spark):
     big = spark.range(200).select(F.when(F.col("id") < 150, 1).otherwise(F.col("id")).alias("k"), "id")
     small = spark.createDataFrame([(1, "hot"), (160, "cold")], "k bigint, name string")
