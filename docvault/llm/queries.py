@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvault.llm import language, language_model, near_duplicates, packing, quality, suffix_dedup, tiling, token_files, url_filter, warc
+from docvault.llm import byte_pairs, collocations, language, language_model, near_duplicates, packing, quality, spelling, suffix_dedup, tiling, token_files, url_filter, warc
 from docvault.session import fresh_path
 
 # Fixed values of the queries.
@@ -149,3 +149,65 @@ SELECT doc_id, n AS n_shingles, component_id, component_id = doc_id AS kept FROM
 def op10_packing(spark, folder):
     """Pack every document into sequences of at most 1,024 ids."""
     return packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+@query
+def op11_spelling(spark, folder):
+    """Words one letter apart from much more frequent ones."""
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
+@query
+def op12_byte_pairs(spark, folder):
+    """Encode and decode every text."""
+    found = byte_pairs.encode(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_collocations(spark, folder):
+    """The first 2,000 phrases of each language."""
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, range(1, 4) t(k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+x AS (SELECT c.*, cut, array_to_string(w[1:cut], ' ') AS one, array_to_string(w[cut + 1:k], ' ') AS two FROM c, range(1, 3) t(cut) WHERE cut < k),
+s AS (SELECT x.lang, x.phrase, x.k, x.a, y.a AS l, z.a AS r, cut, ((1000000::HUGEINT * x.a * x.a) // (y.a::HUGEINT * z.a))::BIGINT AS score
+      FROM x JOIN f y ON y.lang = x.lang AND y.phrase = x.one JOIN f z ON z.lang = x.lang AND z.phrase = x.two),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY 1, 2),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN i USING (lang, phrase)
+      WHERE k = 3 OR longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000"""
+
+# The checksum is written out over a table of 256 numbers, which DuckDB makes by the usual eight steps for each.
+ORACLES["op11_spelling"] = r"""
+WITH RECURSIVE t(i, k, c) AS (SELECT range::UBIGINT, 0, range::UBIGINT FROM range(256)
+     UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM t WHERE k < 8),
+m AS (SELECT list(c ORDER BY i) AS m FROM t WHERE k = 8),
+o AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents)
+      WHERE length(w) >= 7 GROUP BY ALL),
+x AS (SELECT w, n, hex(encode(doc_id || ':' || w)) AS s FROM o),
+h AS (SELECT w, n, xor(list_reduce(list_transform(range(0, length(s) // 2), lambda k: ('0x' || substr(s, 2 * k + 1, 2))::UBIGINT),
+             lambda a, b: xor(m[(xor(a, b) & 255) + 1], a >> 8), 4294967295::UBIGINT), 4294967295::UBIGINT) AS h FROM x, m),
+d AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM d WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+p AS (SELECT word, i, substr(word, 1, i - 1) AS one, substr(word, i + 1) AS two FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (SELECT DISTINCT p.word AS a, v.word AS b FROM p JOIN v ON v.word = p.one || p.two),
+q AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+      UNION ALL SELECT x.word, y.word FROM p x JOIN p y ON x.one = y.one AND x.two = y.two AND x.i = y.i AND x.word <> y.word),
+b AS (SELECT a, b, v.n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) AS r FROM q JOIN v ON v.word = b),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 10 * v.n THEN b.b END AS form, CASE WHEN b.n >= 10 * v.n THEN b.n END AS form_n
+      FROM v LEFT JOIN b ON b.a = v.word AND b.r = 1),
+r(word, tip) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.tip WHERE f.form IS NOT NULL),
+z AS (SELECT r.word, r.tip AS root FROM r JOIN f ON f.word = r.tip WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z USING (word)"""
