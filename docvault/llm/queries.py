@@ -198,7 +198,7 @@ o AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract
       WHERE length(w) >= 7 GROUP BY ALL),
 x AS (SELECT w, n, hex(encode(doc_id || ':' || w)) AS s FROM o),
 h AS (SELECT w, n, xor(list_reduce(list_transform(range(0, length(s) // 2), lambda k: ('0x' || substr(s, 2 * k + 1, 2))::UBIGINT),
-             lambda a, b: xor(m[(xor(a, b) & 255) + 1], a >> 8), 4294967295::UBIGINT), 4294967295::UBIGINT) AS h FROM x, m),
+             lambda a, b: xor(m[(xor(a, b) & 255)::BIGINT + 1], a >> 8), 4294967295::UBIGINT), 4294967295::UBIGINT) AS h FROM x, m),
 d AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, n FROM h),
 v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM d WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
 p AS (SELECT word, i, substr(word, 1, i - 1) AS one, substr(word, i + 1) AS two FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
