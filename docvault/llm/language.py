@@ -6,7 +6,8 @@ probabilities, the score the mean probability that its windows give it.
 
 A null text, or one without a letter, is ``und`` with score 0. The training sample is bounded (``per_language`` documents of
 each language, ``windows`` places in each); a language without training rows can't be predicted. Without any training rows
-every text is ``und``. A null id is in no part of the split: not learned from, not held out.
+every text is ``und``. A null id is in no part of the split: not learned from, not held out. Repeated rows are judged alike.
+Columns beside the named ones aren't read; a kept column may not have the name of a result.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docvault.llm import words as W
+from docvault.llm.sending import received, send
+from docvault.session import lookup_join
 
 WINDOW = 256                # bytes
 WIDTHS = (2, 3, 4)
@@ -126,12 +129,13 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
     The choice needs one count per language; rows that pass the hash by chance beyond twice the bound are cut off.
     """
-    counted = docs.groupBy(lang_col).agg(F.count(F.lit(1)).alias("_n"))
-    picked = docs.join(F.broadcast(counted), lang_col).filter(
-        F.pmod(F.xxhash64(id_col, F.length(text_col)), F.lit(1 << 30)) < F.lit(float(per_language) * (1 << 30)) / F.col("_n"))
-    places = F.array(*[F.substring(F.col(text_col), (F.pmod(F.xxhash64(F.lit(k), F.col(id_col)), F.greatest(F.length(text_col) - WINDOW, F.lit(1))) + 1).cast("int"),
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    counted = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    picked = lookup_join(rows, counted, ["_lang"], salt=F.xxhash64("_id")).filter(
+        F.pmod(F.xxhash64("_id", F.length("_text")), F.lit(1 << 30)) < F.lit(float(per_language) * (1 << 30)) / F.col("_n"))
+    places = F.array(*[F.substring(F.col("_text"), (F.pmod(F.xxhash64(F.lit(k), F.col("_id")), F.greatest(F.length("_text") - WINDOW, F.lit(1))) + 1).cast("int"),
                                    F.lit(WINDOW)) for k in range(windows)])
-    return picked.select(F.col(lang_col).alias("lang"), F.explode(F.array_distinct(places)).alias("text"))
+    return picked.select(F.col("_lang").alias("lang"), F.explode(F.array_distinct(places)).alias("text"))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, windows: int = 3,
@@ -158,16 +162,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def identify(docs: DataFrame, network: ByteNetwork | None, languages: list[str], id_col: str = "doc_id", text_col: str = "text",
              keep: tuple[str, ...] = ()) -> DataFrame:
-    """Id, the columns of ``keep``, ``lang_pred`` and ``score`` of every row."""
+    """Id, the columns of ``keep``, ``lang_pred`` and ``score`` of every row. A kept column must not have a result's name."""
+    if {"lang_pred", "score"} & {id_col, *keep} or len({id_col, *keep}) < len(keep) + 1:
+        raise ValueError(f"kept columns {[id_col, *keep]} clash with each other or with lang_pred, score")
     spark = docs.sparkSession
     kept = docs.select(F.col(id_col), *keep).schema
-    model = spark.sparkContext.broadcast((network, languages))
+    model = send(spark.sparkContext, (network, languages))
     names = kept.fieldNames()
     source = docs.select(F.col(text_col).cast("string").alias("_t"), *[F.col(c).alias(f"_k{k}") for k, c in enumerate(names)])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, order = model.value
+        net, order = received(model)
         ascii_letter = np.zeros(256, bool)
         ascii_letter[[*range(65, 91), *range(97, 123)]] = True
         for batch in W.slices(batches):

@@ -13,7 +13,9 @@ Only spans whose key occurs in several documents go on:
 4. A block joins the answers to runs of bytes and removes them.
 
 A null text is empty; texts shorter than ``length`` lose nothing. Rows of equal id never remove each other's bytes; a null id
-counts as the largest. Strings are judged on the input, overlaps count, and matches never cross documents.
+counts as the largest. Strings are judged on the input, overlaps count, and matches never cross documents. An empty table gives an
+empty result. Only the named columns are read; a carried column may not have the name of a result. Texts are whole, whatever their
+length: a block holds at least one.
 """
 
 from __future__ import annotations
@@ -36,8 +38,10 @@ from docvault.session import fresh_path, is_small, lookup_join, materialise
 
 LENGTH = 50
 GRAM = 16
-BLOCK_BYTES = 2 << 20
-BUCKET_BYTES = 4 << 20      # text per bucket of keys
+BLOCK_BYTES = 1 << 20
+KEYED_BYTES = 32 << 20      # text whose keys share a bucket
+BUCKET_BYTES = 4 << 20      # shared spans per bucket
+RUN_BYTES = 67              # mean length of a span: 35 grams to a window, a new least one after every 17 or so
 HOT_SPANS = 100_000         # beyond so many spans a key is replaced by its windows' hashes
 LAST = (1 << 63) - 1        # a null id
 WINDOW_BYTES = 256 << 10    # text whose windows are hashed at once
@@ -236,6 +240,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Where a cut falls inside a character, the rest of that character goes from the returned text as well.
     """
+    results = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *([text_col] if texts else [])]
+    if len({id_col, *carry, *results}) < 1 + len(carry) + len(results):
+        raise ValueError(f"carried columns {[id_col, *carry]} clash with each other or with {results}")
+    name = f"docvault_blocks_{uuid.uuid4().hex}"
+    try:
+        return _removed(docs, id_col, text_col, length, carry, texts, name)
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _removed(docs: DataFrame, id_col: str, text_col: str, length: int, carry: tuple[str, ...], texts: bool, name: str) -> DataFrame:
+    """The steps; ``name`` is the table of blocks."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     carried = [F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)]
@@ -245,13 +261,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     info = materialise(rows.select("_id", F.octet_length("_text").alias("_bytes"), digest.alias("_sha")), "digests")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = info.agg(F.sum("_bytes")).first()[0] or 0
-    buckets = max(parts, -(-total // BUCKET_BYTES))
+    buckets = max(parts, -(-total // KEYED_BYTES))
     copies = info.groupBy("_sha").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"))
     copies = materialise(copies.filter("_first < _last").select("_sha", "_first"), "copies")
     few = is_small(copies)
     marked = lookup_join(rows.withColumn("_sha", digest), copies, ["_sha"], "left", salt=F.xxhash64("_id"), fits=few)
     path = fresh_path(spark, "blocks")
-    name = f"docvault_blocks_{uuid.uuid4().hex}"
     (_packed_blocks(marked.filter("_first is null or _first = _id").select("_id", "_text", *names), names)
      .write.format("parquet").option("path", path).option("compression", "none").bucketBy(parts, "block").saveAsTable(name))
     blocks = spark.table(name)
@@ -282,11 +297,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         said = np.empty((2, len(keys)), bool)
         said[0][order], said[1][order] = np.repeat(shared, count), np.repeat(hot, count)
         stops = np.cumsum(sizes)
-        return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "answer": [
+        there = np.cumsum(np.where(said[0], np.abs(runs), 0))
+        return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "runs": np.diff(there[stops - 1], prepend=0), "answer": [
             np.packbits(said[:, b - n:b], axis=1).tobytes() for n, b in zip(sizes, stops, strict=True)]})
 
     keyed = blocks.select("block", "ids", "ends", "text").mapInArrow(send_keys, "bucket long, block long, keys binary, runs binary")
-    answers = materialise(keyed.groupBy("bucket").applyInPandas(answer_keys, "block long, bucket long, answer binary"), "answers")
+    answers = materialise(keyed.groupBy("bucket").applyInPandas(answer_keys, "block long, bucket long, runs long, answer binary"), "answers")
+    # Few texts are shared in most corpora, so spans need fewer buckets than keys; no key fills a bucket.
+    wide = max(parts, -(-RUN_BYTES * (answers.agg(F.sum("runs")).first()[0] or 0) // BUCKET_BYTES))
     # At most one answer per key of the block; a block's keys are bounded by its size.
     answers = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("answers"))
 
@@ -308,7 +326,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for number, block, row in _one(batch, length):
                 block.spans(*marks(block, row))
                 heads = block.heads
-                bucket = (block.s_key[heads] % np.uint64(buckets)).astype(np.int64)
+                bucket = (block.s_key[heads] % np.uint64(wide)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
                 binary = lambda f, cut=cut: pa.array([f(own, block.heads[own]).tobytes() for own in cut], pa.binary())
@@ -374,14 +392,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     n = b - a
                     at = block.s_begin[live[np.arange(int(n.sum())) + np.repeat(a - np.cumsum(n) + n, n)]]
                     cover(at + np.repeat(low, n), at + np.repeat(high, n) + length - 1)
-                removed = np.cumsum(change[:-1]) > 0
-                sums = np.concatenate([[0], np.cumsum(removed)])
-                before = np.append(False, removed[:-1])
-                inner = block.offsets[:-1][block.offsets[:-1] < len(removed)]
-                before[inner] = False
-                opens = np.concatenate([[0], np.cumsum(removed & ~before)])
+                removed = np.cumsum(change[:-1], dtype=np.int32) > 0
+                del change
+                opens = removed.copy()
+                opens[1:] &= ~removed[:-1]
                 o = block.offsets
-                n_removed, n_spans = sums[o[1:]] - sums[o[:-1]], opens[o[1:]] - opens[o[:-1]]
+                inner = o[:-1][o[:-1] < len(removed)]
+                opens[inner] = removed[inner]
+                at = np.flatnonzero(removed), np.flatnonzero(opens)
+                n_removed, n_spans = (np.diff(np.searchsorted(x, o)) for x in at)
+                del at, opens
                 hashes, left = [], []
                 for k in range(len(block.ids)):
                     own = block.raw[o[k]:o[k + 1]]
@@ -403,6 +423,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     late = late.select("_id", *names, bytes_.alias("n_bytes"), F.when(whole, bytes_).otherwise(0).alias("n_removed"), F.when(whole, 1).otherwise(0).cast("long").alias("n_spans"),
                        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.col("_sha")).alias("kept_sha256"), *[F.when(whole, "").otherwise(F.col("_text")).alias("_kept")] * texts)
     found = materialise(found.unionByName(late), "repeats")
-    spark.sql(f"DROP TABLE {name}")
     return found.select(F.when(F.col("_id") != LAST, F.col("_id")).alias(id_col), *[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)],
                         "n_bytes", "n_removed", "n_spans", "kept_sha256", *[F.col("_kept").alias(text_col)] * texts)

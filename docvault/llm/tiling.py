@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docvault.llm import words as W
+from docvault.llm.sending import received, send
 
 SEED_WORDS = 5
 COVERAGE = 0.6
@@ -153,10 +154,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for block in range(blocks):
         # One block of bounded size at a time reaches the driver and the tasks.
         part = items.filter(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == block).select("_item", "_text").toArrow()
-        sent = spark.sparkContext.broadcast(Items(part["_item"].to_pylist(), part["_text"].to_pylist(), seed))
+        sent = send(spark.sparkContext, Items(part["_item"].to_pylist(), part["_text"].to_pylist(), seed))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = sent.value
+            own = received(sent)
             for batch in W.slices(batches):
                 raw, offsets = W.terminated(batch.column(1))
                 names, texts = batch.column(0), batch.column(2)

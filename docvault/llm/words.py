@@ -26,6 +26,7 @@ def worker_cache(name: str, make: Callable):
 def release() -> None:
     """Give freed memory back to the system, where the C library can; else a worker keeps the most it ever used."""
     import ctypes
+    pa.default_memory_pool().release_unused()
     trim = worker_cache("trim", lambda: getattr(ctypes.CDLL(None), "malloc_trim", None))
     if trim is not None:
         trim(0)
