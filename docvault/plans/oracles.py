@@ -320,6 +320,18 @@ O["key_terms"] = _with(BASE, PROFILE, select=f"SELECT qid, {ROLE_LIST}[r + 1] AS
 _HIT_COLUMNS = "SELECT qid, doc, bm25, superseded, score, rank FROM hits"
 O["bm25_top5"] = _with(BASE, _hits("true"), select=_HIT_COLUMNS)
 O["bm25_permission_top5"] = _with(BASE, _hits(PERMITTED), select=_HIT_COLUMNS)
+O["block_max_top5"] = O["bm25_top5"]
+O["block_max_work"] = _with(BASE, f"""
+bw AS MATERIALIZED (
+  SELECT w.qid, w.term, tf.doc, CAST(tf.doc AS BIGINT) // 8 AS range, {PERMITTED} AS ok, {_part('v.idf')} AS part
+  FROM qw w JOIN tf ON tf.term = w.term JOIN vocab v ON v.term = w.term, stats),
+bb AS (SELECT qid, range, term, max(part) AS top FROM bw GROUP BY ALL HAVING bool_or(ok)),
+bu AS MATERIALIZED (SELECT qid, range, round(sum(top), 9) AS bound, count(*) AS blocks FROM bb GROUP BY ALL),
+b1 AS (SELECT qid, range FROM bu QUALIFY row_number() OVER (PARTITION BY qid ORDER BY bound DESC, range) <= 8),
+bs AS (SELECT qid, doc, round(sum(part), 9) AS bm25 FROM bw JOIN b1 USING (qid, range) WHERE ok GROUP BY ALL),
+bf AS (SELECT qid, bm25 AS floor FROM bs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, doc) = 20)
+""", select="""SELECT qid, sum(blocks)::BIGINT AS blocks, sum(CASE WHEN floor IS NULL OR bound + 1e-8 >= floor THEN blocks ELSE 0 END)::BIGINT AS scored_blocks
+  FROM bu LEFT JOIN bf USING (qid) GROUP BY qid""")
 O["bm25_candidates"] = _with(BASE, _hits(PERMITTED), select="SELECT qid, doc, bm25, rk AS rank FROM cand")
 
 

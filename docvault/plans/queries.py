@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docvault import fixed_values as V
 from docvault.functions import injection, pii
 from docvault.functions import text as T
-from docvault.operators import (access, answers, dense, evaluation, evidence, fusion, glossary, lexical, limits, passages,
+from docvault.operators import (access, answers, block_max, dense, evaluation, evidence, fusion, glossary, lexical, limits, passages,
                                 responses, scanning, sessions, tfidf, validation, verification)
 from docvault.plans.ask import ask, search
 from docvault.plans.library import build_library
@@ -302,6 +302,30 @@ def bm25_candidates(spark, folder):
     return words.select("qid", "doc", "bm25", "rank")
 
 
+def _block_search(spark, folder, role=None):
+    # ranges of eight neighbouring ids, so that SQL can form the same ones
+    whole = lexical.lexical_index(passages.whole_documents(library_documents(spark, folder)))
+    counted = materialise(block_max.counted_index(whole, F.col("doc").cast("long")), "counted")
+    stats = materialise(lexical.collection_stats(counted), "collection-stats")
+    blocks = materialise(block_max.block_postings(counted, stats), "blocks")
+    questions = benchmark_questions(spark, folder)
+    questions = questions.withColumn("role", F.lit(role)) if role else questions
+    return block_max.BlockSearch(blocks, block_max.rarity(blocks, stats), lexical.question_terms(questions), 20)
+
+
+@query
+def block_max_top5(spark, folder):
+    """The rows of ``bm25_top5``, with ranges of passages skipped by their bounds."""
+    hits = fusion.final_hits(fusion.fuse(_block_search(spark, folder, "executive").top(), None))
+    return hits.select("qid", "doc", "bm25", "superseded", "score", "rank")
+
+
+@query
+def block_max_work(spark, folder):
+    """Blocks of each question's terms and the number that had to be unpacked."""
+    return _block_search(spark, folder).work().select("qid", "blocks", "scored_blocks")
+
+
 def _vectors(spark, folder, mask):
     return table(spark, folder, "embeddings").select(
         F.lit("library").alias("coll"), F.col("vec_id").alias("doc"), F.lit(0).alias("n"), mask.cast("int").alias("mask"),
