@@ -69,7 +69,7 @@ def rarity(blocks: DataFrame, stats: DataFrame) -> DataFrame:
 class BlockSearch:
     """A batch of questions over blocks: ``bounds`` of all ranges, ``floor`` per question, ``alive`` ranges, ``top`` passages."""
 
-    def __init__(self, blocks: DataFrame, rare: DataFrame, terms: DataFrame, n: int, first_ranges: int | None = None, size: int = RANGE):
+    def __init__(self, blocks: DataFrame, rare: DataFrame, terms: DataFrame, n: int, first_ranges: int | None = None):
         self.n, self.blocks = n, only_terms(blocks, terms)
         weighted = terms.join(only_terms(rare, terms), ["coll", "term"]).select("qid", "bit", "coll", "term", (F.col("weight") * F.col("idf")).alias("weight"))
         self.weighted = materialise(weighted, "weighted-terms")
@@ -78,7 +78,7 @@ class BlockSearch:
         bounds = narrow.filter(allows(F.col("masks"), F.col("bit"))).groupBy("qid", "coll", "range").agg(
             F.round(F.sum(F.col("weight") * F.col("top")), 9).alias("bound"), F.count(F.lit(1)).alias("blocks"))
         self.bounds = materialise(bounds, "bounds")
-        few = max(4, -(-3 * n // size)) if first_ranges is None else first_ranges
+        few = 2 * n if first_ranges is None else first_ranges  # so that a floor is found where only some passages are permitted
         first = top_per_question(self.bounds.select("*", F.col("range").alias("doc"), F.lit(0).alias("n")), "bound", few, ["qid", "coll"])
         tried = top_per_question(self._scored(first.select("qid", "coll", "range")), "bm25", n, ["qid", "coll"])
         self.floor = materialise(tried.filter(F.col("rank") == n - 1).select("qid", "coll", F.col("bm25").alias("floor")), "floors")

@@ -312,6 +312,51 @@ O["document_reader"] = _with(BASE, select=f"""SELECT doc AS doc_id, md5({_masked
 O["reader_denied"] = _with(BASE, select="SELECT doc AS id, source AS owner FROM lib WHERE cls NOT IN (6, 3)")
 O["superseded_documents"] = _with(BASE, select="SELECT doc AS id, source AS owner FROM lib WHERE superseded")
 
+# Passages: the cuts level by level, then a walk over the lengths with the open window as its state.
+def _cut(sep: str) -> str:
+    parts = f"list_filter(list_transform(string_split(p.t, '{sep}'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '{sep}' || x END), lambda x: x <> '')"
+    return (f"flatten(list_transform(ps, lambda p: CASE WHEN length(p.t) >= {V.PASSAGE_SIZE} THEN list_transform([{parts}], lambda xs: "
+            f"list_transform(xs, lambda x, i: {{'t': x, 'new': i = 1 OR length(xs[i - 1]) >= {V.PASSAGE_SIZE}}}))[1] ELSE [p] END))")
+
+
+def _passages(text: str) -> str:
+    """CTEs that end in ``psg`` (doc, n, section, text, superseded and what else ``lib`` has), for an expression of ``lib``'s columns."""
+    size, overlap = V.PASSAGE_SIZE, V.PASSAGE_OVERLAP
+    levels = [s.replace("\n", "' || chr(10) || '") for s in V.SEPARATORS if s]
+    cuts = ",\n".join(f"cut{k + 1} AS (SELECT * REPLACE ({_cut(s)} AS ps) FROM cut{k})" for k, s in enumerate(levels))
+    most = f"CAST(greatest(0, ceil((length(p.t) - {size}) / {size - overlap}.0)) AS BIGINT)"
+    state = "'at': 0::BIGINT, 'fin': 0::BIGINT, 'held': []::BIGINT[], 'out': []::STRUCT(a BIGINT, b BIGINT)[]"
+    left = f"(length(p.t) - k * {size - overlap})"
+    piece = f"{{{state}, 'n': length(p.t)::BIGINT, 'step': length(p.t)::BIGINT, 'new': p.new}}"
+    window = f"{{{state}, 'n': least({left}, {size})::BIGINT, 'step': CASE WHEN {left} <= {size} THEN {left} ELSE {size - overlap} END::BIGINT, 'new': true}}"
+    full = f"(s.at + p.n - coalesce(s.held[1], s.at) > {size})"
+    kept = f"list_filter(s.held, lambda x: s.at - x <= {overlap} AND s.at + p.n - x <= {size})"
+    return f"""
+sect AS (
+  SELECT * EXCLUDE (heads, bodies), unnest(list_transform(bodies, lambda b, i: {{'i': i, 'section': CASE WHEN i = 1 THEN title ELSE heads[i - 1] END, 'body': {_STRIPPED.format('b')}}})) AS x
+  FROM (SELECT *, regexp_split_to_array({text}, '(?m)^#[^\\n]*') AS bodies,
+               list_transform(regexp_extract_all({text}, '(?m)^#[^\\n]*'), lambda h: {_STRIPPED.format("regexp_replace(h, '^[# ]+', '')")}) AS heads FROM lib)),
+cut0 AS (SELECT * EXCLUDE (x), x.i AS i, x.section AS section, x.body AS body, [{{'t': x.body, 'new': true}}] AS ps FROM sect WHERE x.body <> ''),
+{cuts},
+lens AS (SELECT * EXCLUDE (ps), flatten(list_transform(ps, lambda p: CASE WHEN length(p.t) >= {size} THEN list_transform(range(0, {most} + 1), lambda k: {window}) ELSE [{piece}] END)) AS ps FROM cut{len(levels)}),
+walk AS (SELECT * EXCLUDE (ps), list_reduce(ps, lambda s, p: {{
+    'at': s.at + p.step, 'fin': s.at + p.n,
+    'held': CASE WHEN p.new THEN [s.at] WHEN {full} THEN list_append({kept}, s.at) ELSE list_append(s.held, s.at) END,
+    'out': CASE WHEN (p.new OR {full}) AND len(s.held) > 0 THEN list_append(s.out, {{'a': s.held[1], 'b': s.fin}}) ELSE s.out END,
+    'n': 0::BIGINT, 'step': 0::BIGINT, 'new': false}}, {{{state}, 'n': 0::BIGINT, 'step': 0::BIGINT, 'new': false}}) AS s FROM lens),
+outs AS (SELECT * EXCLUDE (s), unnest(list_append(s.out, {{'a': s.held[1], 'b': s.fin}})) AS w, generate_subscripts(list_append(s.out, {{'a': s.held[1], 'b': s.fin}}), 1) AS k FROM walk),
+psg AS MATERIALIZED (
+  SELECT * EXCLUDE (text, body, w, k, i, piece), piece AS text, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS n
+  FROM (SELECT *, {_STRIPPED.format('substr(body, w.a + 1, w.b - w.a)')} AS piece FROM outs) WHERE piece <> '')
+"""
+
+
+_LIB = BASE[:BASE.index("gloss(term")].rstrip().rstrip(",")
+O["passage_table"] = _with(_LIB, _passages("text"), select="SELECT doc, n::INT AS n, section, text, superseded FROM psg")
+O["passage_stats"] = _with(_LIB, _passages("text"), select="SELECT doc, count(*) AS n_passages, max(length(text))::INT AS longest, sum(length(text))::BIGINT AS chars FROM psg GROUP BY doc")
+O["planted_sections"] = _with(_LIB, _passages("text || chr(10) || '## Part  two of ' || doc || chr(10) || replace(text, '. ', '؟ ') || chr(10) || '#' || chr(10) || '# Nothing' || chr(10) || ' ' || chr(10) || '#Last' || chr(10) || 'x,' || repeat(' end', doc_id % 400)"),
+    select="SELECT doc, section, count(*) AS n_passages, min(n)::INT AS first, md5(string_agg(text, chr(10) ORDER BY n)) AS text_md5 FROM psg GROUP BY doc, section")
+
 O["term_idf"] = _with(BASE, select="SELECT term, round(idf, 6) AS idf, len(list_filter(vis, lambda v: v)) AS n_roles FROM vocab")
 O["role_vocab_size"] = _with(BASE, select=f"SELECT {ROLE_LIST}[r + 1] AS role, terms, round(top, 6) AS max_idf FROM tops")
 O["unknown_terms"] = _with(BASE, PROFILE, select=f"""SELECT qid, {ROLE_LIST}[r + 1] AS role, len(unknown) AS n_unknown, array_to_string(unknown, ' ') AS unknown FROM prof""")
@@ -327,7 +372,7 @@ bw AS MATERIALIZED (
   FROM qw w JOIN tf ON tf.term = w.term JOIN vocab v ON v.term = w.term, stats),
 bb AS (SELECT qid, range, term, max(part) AS top FROM bw GROUP BY ALL HAVING bool_or(ok)),
 bu AS MATERIALIZED (SELECT qid, range, round(sum(top), 9) AS bound, count(*) AS blocks FROM bb GROUP BY ALL),
-b1 AS (SELECT qid, range FROM bu QUALIFY row_number() OVER (PARTITION BY qid ORDER BY bound DESC, range) <= 8),
+b1 AS (SELECT qid, range FROM bu QUALIFY row_number() OVER (PARTITION BY qid ORDER BY bound DESC, range) <= 40),
 bs AS (SELECT qid, doc, round(sum(part), 9) AS bm25 FROM bw JOIN b1 USING (qid, range) WHERE ok GROUP BY ALL),
 bf AS (SELECT qid, bm25 AS floor FROM bs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, doc) = 20)
 """, select="""SELECT qid, sum(blocks)::BIGINT AS blocks, sum(CASE WHEN floor IS NULL OR bound + 1e-8 >= floor THEN blocks ELSE 0 END)::BIGINT AS scored_blocks
@@ -344,6 +389,7 @@ def _dense(where: str) -> str:
 
 O["dense_top5"] = _dense("true")
 O["dense_permission_top5"] = _dense("v.label IN (q.label, (q.label + 1) % 10)")
+O["dense_cells_top5"] = O["dense_permission_top5"]
 
 # TF-IDF over words and character n-grams, one collection per source
 _PADDED = "' ' || w || ' '"

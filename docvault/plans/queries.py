@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docvault import fixed_values as V
 from docvault.functions import injection, pii
 from docvault.functions import text as T
-from docvault.operators import (access, answers, block_max, dense, evaluation, evidence, fusion, glossary, lexical, limits, passages,
+from docvault.operators import (access, answers, block_max, cells, dense, evaluation, evidence, fusion, glossary, lexical, limits, passages,
                                 responses, scanning, sessions, tfidf, validation, verification)
 from docvault.plans.ask import ask, search
 from docvault.plans.library import build_library
@@ -244,6 +244,16 @@ def passage_stats(spark, folder):
                                    F.sum(F.length("text")).alias("chars"))
 
 
+@query
+def planted_sections(spark, folder):
+    """Sections and their passages where headings, empty sections and long lines are put between the texts."""
+    text = F.concat("text", F.lit("\n## Part  two of "), "id", F.lit("\n"), F.replace("text", F.lit(". "), F.lit("؟ ")), F.lit("\n#\n# Nothing\n \n#Last\nx,"),
+                    F.repeat(F.lit(" end"), F.pmod(F.col("id").cast("long"), F.lit(400)).cast("int")))
+    rows = passages.passages(library_documents(spark, folder).withColumn("text", text))
+    grouped = rows.groupBy("doc", "section").agg(F.count(F.lit(1)).alias("n_passages"), F.min("n").alias("first"), F.sort_array(F.collect_list(F.struct("n", "text"))).alias("t"))
+    return grouped.select("doc", "section", "n_passages", "first", F.md5(F.array_join("t.text", "\n")).alias("text_md5"))
+
+
 # ------------------------------------------------------------------ vocabulary
 @query
 def term_idf(spark, folder):
@@ -352,6 +362,15 @@ def dense_permission_top5(spark, folder):
     return hits.select("qid", "doc", "dense", "rank")
 
 
+@query
+def dense_cells_top5(spark, folder):
+    """The rows of ``dense_permission_top5``, by cells of vectors with a bound each."""
+    own = F.expr("shiftleft(1, label)")
+    both = own.bitwiseOR(F.expr("shiftleft(1, (label + 1) % 10)"))
+    hits, _ = cells.pruned_top(cells.build_cells(_vectors(spark, folder, own), 32), _vector_questions(spark, folder, both), 5)
+    return hits.select("qid", "doc", "dense", "rank")
+
+
 def _session_cosines(spark, folder, n):
     """Each source of documents as one session's collection, asked by the questions whose number matches."""
     docs = table(spark, folder, "documents").select(

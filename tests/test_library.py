@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 import pytest
@@ -67,6 +68,11 @@ def test_sections_and_numbering(docs):
     assert [(r.n, r.section, r.text.split()[0]) for r in rows] == [(0, "Leave: the rules", "Intro"), (1, "Days", "Staff")]
 
 
+def _split(spark, texts, size=520, overlap=60):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", passages.split_text(F.col("t"), size, overlap).alias("p"))
+    return [r.p for r in rows.orderBy("i").collect()]
+
+
 @pytest.mark.parametrize("text,size,overlap,want", [
     ("aa bb cc dd", 6, 3, ["aa bb", "bb cc", "cc dd"]),
     ("aa bb cc dd", 6, 0, ["aa bb", "cc dd"]),
@@ -76,13 +82,58 @@ def test_sections_and_numbering(docs):
     ("short", 20, 5, ["short"]),
     ("", 20, 5, []),
 ])
-def test_splitter_by_hand(text, size, overlap, want):
-    assert passages.split_text(text, size, overlap) == want
+def test_splitter_by_hand(spark, text, size, overlap, want):
+    assert _split(spark, [text], size, overlap) == [want]
+
+
+def _by_definition(text, size, overlap, separators):
+    """Pieces that are short enough are gathered; one that isn't ends the gathering and is cut by the separators that are left."""
+    if separators[0] and separators[0] not in text:
+        return _by_definition(text, size, overlap, separators[1:])
+    sep, out, gathered = separators[0], [], []
+    pieces = list(text) if not sep else [p for k, part in enumerate(text.split(sep)) for p in [part if k == 0 else sep + part] if p]
+
+    def close():
+        window = []
+        for piece in gathered:
+            if window and len("".join(window)) + len(piece) > size:
+                out.append("".join(window))
+                while window and (len("".join(window)) > overlap or len("".join(window)) + len(piece) > size):
+                    window.pop(0)
+            window.append(piece)
+        if window:
+            out.append("".join(window))
+        gathered.clear()
+
+    for piece in pieces:
+        if len(piece) < size:
+            gathered.append(piece)
+        else:
+            close()
+            out += _by_definition(piece, size, overlap, separators[1:])
+    close()
+    return out
+
+
+@pytest.mark.parametrize("size,overlap", [(10, 3), (10, 0), (40, 20), (7, 9), (520, 60), (3, 1)])
+def test_splitter_by_definition(spark, size, overlap):
+    draw = random.Random(size)
+    stock = ["a", "bb", " ", "  ", ". ", ", ", "\n", "\n\n", "\n\n\n", "? ", "۔", "، ", "؟ ", "word", "\U0001f600", "x" * 30, "\t"]
+    texts = ["".join(draw.choice(stock) for _ in range(draw.randint(0, 120))) for _ in range(200)]
+    texts += ["y" * 3000, "y" * size + " z", "z " + "y" * (size + 1), "ab " * 1000, "", "   ", "a. " * 400]
+    want = [[p.strip() for p in _by_definition(t, size, overlap, V.SEPARATORS) if p.strip()] for t in texts]
+    assert _split(spark, texts, size, overlap) == want
+
+
+def test_null_and_long_texts(spark):
+    long = "word " * 40_000
+    assert _split(spark, [None, long])[0] is None and " ".join(_split(spark, ["x" * 100_000])[0])[:520] == "x" * 520
+    assert sum(map(len, _split(spark, [long])[0])) >= len(long.strip()) - 520
 
 
 def test_splitter_keeps_every_word(spark):
     text = "\n".join(f"Sentence {i} has some words, and more. " * (i % 9) for i in range(60))
-    cut = passages.split_text(text)
+    cut = _split(spark, [text])[0]
     assert all(0 < len(p) <= 520 for p in cut)
     at = 0
     for piece in cut:  # pieces appear in order and leave no word behind
