@@ -40,6 +40,19 @@ def fresh_path(spark: SparkSession, name: str, outer: bool = False) -> str:
     return path
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder's full address. Without a scheme it is on Spark's default file system, which only the driver is sure to know."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Let rows go to Python in batches of bounded bytes, since texts vary in length; a session that sets a bound keeps its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, size)
+
+
 @contextmanager
 def intermediates(spark: SparkSession) -> Iterator[None]:
     """Remove all tables that are materialised inside, at the end. Results must have been written elsewhere by then."""
