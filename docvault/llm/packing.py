@@ -1,12 +1,13 @@
 """Packing of token ids into fixed windows, in document order, with cuts chosen by dynamic programming.
 
 Candidate cuts are ends of documents, ends of sentences and, where a sentence has to be truncated, every ``STEP`` ids inside
-it. A window costs its padding plus the penalty of its closing cut, so a sentence is truncated only where keeping it whole
+it. A window costs its padding, which is none at a power of two, plus the penalty of its closing cut, so a sentence is truncated only where keeping it whole
 would leave more padding than that penalty. The cheapest sequence of cuts comes from a window minimum kept in a monotone
 queue, so each candidate enters and leaves the queue once.
 
 Texts are sorted by id across tasks. A task packs blocks of bounded size, so its memory doesn't grow with its range. A null
-text is empty and gives the closing id only. Repeated ids are packed as separate documents; null ids come first.
+text is empty and gives the closing id only. Repeated ids are packed as separate documents; null ids come first. A text of any
+length is cut into as many windows as it fills. An empty table gives no piece; only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -28,21 +29,37 @@ WINDOW = 1024
 SENTENCE_PENALTY = 2        # ids of padding that a cut at the end of a sentence is worth
 INSIDE_PENALTY = 20         # the same inside a sentence
 STEP = 16
-BLOCK_IDS = 1_000_000       # ids packed together
+BLOCK_IDS = 500_000         # ids packed together
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def choose_cuts(places: list[int], penalties: list[int], window: int) -> list[int]:
-    """Cuts of least padding plus penalties. ``places`` begin with 0, rise by at most ``window`` and end with the last cut."""
-    # cost[j] = min over i with places[j] - places[i] <= window of cost[i] + window - (places[j] - places[i]) + penalty[j]
+    """Cuts of least padding plus penalties. ``places`` begin with 0, rise by at most ``window`` and end with the last cut.
+
+    A sequence is padded to ``window``, but not if its length is a power of two.
+    """
+    # cost[j] = min over i with places[j] - places[i] <= window of cost[i] + window - (places[j] - places[i]) + penalty[j];
+    # without the padding where the length is a power of two, at most one i for each power.
     value, before = [0] * len(places), [0] * len(places)   # value[i] = cost[i] + places[i]
+    at = np.array(places)
+    bare: list[list[int]] = [[] for _ in places]
+    for power in range(window.bit_length()):
+        if 1 << power < window:
+            i = np.searchsorted(at, at - (1 << power))
+            for j in np.flatnonzero(at[np.minimum(i, len(at) - 1)] == at - (1 << power)).tolist():
+                bare[j].append(int(i[j]))
     queue = deque([0])
     for j in range(1, len(places)):
         low = places[j] - window
         while places[queue[0]] < low:
             queue.popleft()
         before[j] = queue[0]
-        value[j] = own = value[queue[0]] + window + penalties[j]
+        own = value[queue[0]] + window + penalties[j]
+        for i in bare[j]:
+            some = value[i] - places[i] + places[j] + penalties[j]
+            if some < own:
+                own, before[j] = some, i
+        value[j] = own
         while queue and value[queue[-1]] >= own:
             queue.pop()
         queue.append(j)
@@ -53,6 +70,11 @@ def choose_cuts(places: list[int], penalties: list[int], window: int) -> list[in
     return cuts[::-1]
 
 
+def padding(lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Ids of padding of sequences of these lengths: none at a power of two."""
+    return np.where(lengths & (lengths - 1) == 0, 0, window - lengths)
+
+
 def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[list[int], list[int]]:
     """Places of cuts with their penalties; no gap is longer than ``STEP``."""
     places = np.unique(np.concatenate([[0], doc_ends, sentence_ends]))
@@ -88,7 +110,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "
     """One row per piece; ``sequence_id`` grows with document order and a sequence lies within one task."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.repartitionByRange(tasks, F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first())
+    # The text's hash parts rows that share an id, or have none; their order is free.
+    order = [F.col("_id").asc_nulls_first(), F.xxhash64("_text").asc()]
+    rows = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 33

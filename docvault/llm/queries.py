@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docvault.llm import byte_pairs, collocations, language, language_model, near_duplicates, packing, quality, spelling, suffix_dedup, tiling, token_files, url_filter, warc
-from docvault.session import fresh_path
+from docvault.session import bounded_batches, fresh_path
 
 # Fixed values of the queries.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -20,8 +21,13 @@ ORACLES: dict[str, str] = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def run(spark, folder):
+        bounded_batches(spark)
+        return f(spark, folder)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -6,7 +6,8 @@ A round replaces many pairs at once: of overlapping occurrences the one of the m
 cross documents, so a document is decoded from its own symbols. Lengths of all rules' expansions are stored.
 
 A null text is empty and has the end id only. Null ids come first; repeated ids stay separate documents. An empty table
-gives no shard. Other columns of the input are not read.
+gives no shard. Other columns of the input are not read. A document longer than a shard has one of its own. Paths are settled by
+the driver; the store has to be one that Arrow's file systems can open.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from docvault.llm import words as W
 from docvault.llm.pieces import encoder, expand
-from docvault.session import materialise
+from docvault.session import materialise, qualified
 
 # Fixed values of the format.
 MAGIC = b"DVREPAIR1\n"
@@ -33,7 +34,6 @@ SYMBOLS = 1 << 16           # terminals and rules of a shard together
 
 SHARD_IDS = 2_000_000
 LEAST_COUNT = 6             # a pair must occur so often in a shard to become a rule
-ROUNDS = 10                 # rounds of replacement; what is left over stays as it is
 _SLOTS = 18
 
 
@@ -54,10 +54,8 @@ def repair(symbols: np.ndarray, last: np.ndarray, terminals: int) -> tuple[np.nd
     """Left and right sides of the rules, the remaining symbols, and whether each ends a document."""
     left, right, count = [], [], terminals
     symbols, last = symbols.astype(np.uint32), last.copy()
-    for round_ in range(ROUNDS):
-        room = (SYMBOLS - count) // (2 if round_ < ROUNDS - 1 else 1)
-        if len(symbols) < 2 or room < 1:
-            break
+    while len(symbols) > 1 and count < SYMBOLS:
+        room = max((SYMBOLS - count) // 2, 1)   # symbols are left for pairs of new symbols
         key = (symbols[:-1] << np.uint32(16)) | symbols[1:]
         free = ~last[:-1]
         chosen = _frequent(key[free], room)
@@ -184,8 +182,9 @@ class Shard:
 
 
 def _files(folder: str):
+    """File system and path of a folder with its scheme, as the driver gave it."""
     from pyarrow import fs
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    return fs.FileSystem.from_uri(f"file://{folder[5:]}" if folder.startswith("file:/") and not folder.startswith("file://") else folder)
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
@@ -194,7 +193,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.repartitionByRange(tasks, F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first())
+    # The text's hash parts rows that share an id, or have none; their order is free.
+    order = [F.col("_id").asc_nulls_first(), F.xxhash64("_text").asc()]
+    rows = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    folder = qualified(spark, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _files(folder)
@@ -240,6 +242,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
 
 def read_tokens(spark: SparkSession, shards: DataFrame, folder: str, ids: bool = False) -> DataFrame:
     """Documents of the shards: doc_id, start, n_tokens, ids_crc32 and, if wanted, the ids."""
+    folder = qualified(spark, folder)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = _files(folder)
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docvault.session import is_small, lookup_join, materialise
+from docvault.session import is_small, lookup_join, materialise, qualified
 
 # Fixed values of the format.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -41,8 +41,9 @@ class WarcError(ValueError):
 
 
 def _files(folder: str):
+    """File system and path of a folder with its scheme, as the driver gave it."""
     from pyarrow import fs
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    return fs.FileSystem.from_uri(f"file://{folder[5:]}" if folder.startswith("file:/") and not folder.startswith("file://") else folder)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -212,6 +213,8 @@ def write_warcs(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     other = F.col("newest").isNotNull() & ~F.col("id").eqNullSafe(F.col("newest"))
     rows = rows.select("id", "url", "payload", "digest", F.when(other, F.col("newest")).alias("refers"))
 
+    folder = qualified(spark, folder)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _files(folder)
         files.create_dir(root)
@@ -237,7 +240,7 @@ def write_warcs(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
 def read_warcs(spark: SparkSession, archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """One row per record of the named archives, checked by ``parse``; the record counts must be those of the table."""
-    fields = T._parse_datatype_string(FOUND + (", payload binary" if payloads else ""))
+    fields, folder = T._parse_datatype_string(FOUND + (", payload binary" if payloads else "")), qualified(spark, folder)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = _files(folder)

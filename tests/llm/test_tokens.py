@@ -106,15 +106,60 @@ def test_packing(documents, odd, none):
 
 def test_cuts_are_optimal():
     draw = np.random.default_rng(3)
-    for _ in range(60):
-        window = int(draw.integers(4, 12))
+    for k in range(120):
+        window = 8 if k % 3 == 0 else int(draw.integers(4, 20))
         places = np.cumsum(np.concatenate([[0], draw.integers(1, window + 1, int(draw.integers(1, 12)))])).tolist()
         penalties = draw.integers(0, 6, len(places)).tolist()
         best = {0: 0}
         for j in range(1, len(places)):
-            best[j] = min(best[i] + window - (places[j] - places[i]) + penalties[j] for i in range(j) if places[j] - places[i] <= window)
+            best[j] = min(best[i] + int(packing.padding(np.array(places[j] - places[i]), window)) + penalties[j] for i in range(j) if places[j] - places[i] <= window)
         cost, low = 0, 0
         for c in packing.choose_cuts(places, penalties, window):
             assert c - low <= window
-            cost, low = cost + window - (c - low) + penalties[places.index(c)], c
+            cost, low = cost + int(packing.padding(np.array(c - low), window)) + penalties[places.index(c)], c
         assert cost == best[len(places) - 1] and low == places[-1]
+
+
+def test_little_padding(spark, documents):
+    found = packing.pack_documents(documents.repartition(1), BYTE, 0).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    lengths = np.array([r[1] for r in found])
+    # Each task's last sequence is as long as its rest is; elsewhere little is lost.
+    assert packing.padding(lengths).sum() < 0.03 * lengths.sum() + 4 * packing.WINDOW
+    assert packing.padding(np.array([1, 2, 3, 512, 1000, 1024])).tolist() == [0, 0, 1021, 0, 24, 0]
+
+
+def test_a_third_without_id_is_spread(spark, documents):
+    from pyspark.sql import functions as F
+    rows = documents.select(F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")).alias("doc_id"), F.concat("text", F.col("doc_id").cast("string")).alias("text"))
+    many = rows.crossJoin(spark.range(5)).select("doc_id", F.concat("text", F.col("id").cast("string")).alias("text"))
+    where = fresh_path(spark, "t")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        shards = token_files.write_tokens(many, where, WORD, 2, shard_ids=10**9).collect()
+        packed = packing.pack_documents(many, BYTE, 0).filter("start = 0").groupBy(F.shiftright("sequence_id", 33).alias("task")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for sizes in ([r.documents for r in shards], [r["count"] for r in packed]):
+        assert sum(sizes) == many.count() and max(sizes) <= 2 * sum(sizes) / 8
+
+
+def test_grammar_ends_by_itself():
+    # No pair that occurs often enough is left where symbols remain.
+    draw = np.random.default_rng(8)
+    ids = np.concatenate([np.tile(draw.integers(0, 500, 64), 300), draw.integers(0, 500, 3000)]).astype(np.int32)
+    known, symbols = np.unique(ids, return_inverse=True)
+    last = np.zeros(len(ids), bool)
+    last[-1] = True
+    left, _, out, ends = token_files.repair(symbols, last, len(known))
+    pairs = collections.Counter(zip(out[:-1][~ends[:-1]].tolist(), out[1:][~ends[:-1]].tolist()))
+    assert len(left) > 64 and max(pairs.values()) < 2 * token_files.LEAST_COUNT and len(out) < 8000
+
+
+def test_a_path_that_only_spark_settles(spark, documents):
+    # Without a scheme the folder is on Spark's default file system; tasks get its full address.
+    from docvault.session import qualified, shared_folder
+    bare = shared_folder(spark).removeprefix("file:") + "/bare"
+    assert qualified(spark, bare).startswith("file:/")
+    shards = token_files.write_tokens(documents, bare, WORD, 2)
+    assert token_files.read_tokens(spark, shards, bare).count() == documents.count()
+    assert all(r.path.startswith("/") for r in shards.collect())
