@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docvault.llm import language, near_duplicates, packing, suffix_dedup, tiling
-from docvault.session import is_small, lookup_join, materialise
+from docvault.session import bounded_batches, is_small, lookup_join, materialise
 
 LEAST_LANGUAGE_SCORE = 0.4
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,6 +29,7 @@ def _without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataF
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a letter and texts that the network can't tell (score under ``LEAST_LANGUAGE_SCORE``)."""
+    bounded_batches(spark)
     network, languages = language.train(docs)
     found = language.identify(docs, network, languages, keep=("text", "lang", "source", "n_chars"))
     return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
@@ -36,6 +37,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of near copies: of the smallest id, null last, and of its texts one; of repeated rows one stays."""
+    bounded_batches(spark)
     own = _keys(F.xxhash64("text"))
     names = list(own)
     found = near_duplicates.near_duplicates(docs).select(*[c.alias(k) for k, c in _keys(F.col("text_hash")).items()], "chosen")
@@ -53,12 +55,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove passages that a document with a smaller id holds; texts with nothing left go."""
+    bounded_batches(spark)
     found = suffix_dedup.remove_repeats(docs, carry=("lang", "source"), texts=True)
     return found.filter(F.trim("text") != "").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def without_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold most of a test item, whole or in another order."""
+    bounded_batches(spark)
     found = tiling.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = found.select(*[c.alias(k) for k, c in _keys(F.col("text_hash")).items()])
     return _without(docs, gone, _keys(F.xxhash64("text")))
@@ -66,6 +70,7 @@ def without_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1,024 ids, with the ids of each piece."""
+    bounded_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, ids=True)
 
 
