@@ -298,9 +298,20 @@ O["arabic_tokens"] = f"""SELECT doc_id, is_arabic, len(t) AS n_tokens, len(list_
 O["planted_instructions"] = f"""SELECT doc_id, doc_id % 3 = 0 OR {_injected('text')} AS flagged,
   md5(array_to_string(list_filter(list_transform(c, lambda x: x.line), lambda t: t IS NOT NULL), chr(10)) || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Row ' || doc_id || ' stays.' ELSE '' END) AS clean_md5,
   list_sum(list_transform(c, lambda x: x.removed))::INT + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS removed FROM (SELECT doc_id, text, {_clean('text')} AS c FROM documents)"""
-O["planted_identifiers"] = f"""SELECT doc_id, 2 AS emirates_id, 1 AS iban, 1 AS passport, 1 AS phone,
-  md5({_masked('text')} || chr(10) || '[EMIRATES ID HIDDEN] [EMIRATES ID HIDDEN]; [IBAN HIDDEN]; passport no. [PASSPORT HIDDEN]; [PHONE HIDDEN]') AS masked_md5
-  FROM documents WHERE doc_id % 3 = 0"""
+_PLANT = "(chr(10) || '784-1988-' || num || '-3 784-1988-' || num || '-4; AE12000011112222' || num || '; passport no. N' || num || '; +971 50 ' || left(num, 3) || ' ' || right(num, 4))"
+_IDENTIFIERS = [("emirates_id", "EMIRATES ID", r"\b784(?:-|\s)?[0-9]{4}(?:-|\s)?[0-9]{7}(?:-|\s)?[0-9]\b"), ("iban", "IBAN", r"(?i)\bAE\s?[0-9]{2}(?:\s?[0-9]){19}\b"),
+                ("passport", "PASSPORT", r"(?i)\b(passport(?: no\.?| number)?:?\s*)([A-Z][0-9]{7,8})\b"), ("phone", "PHONE", r"(?:\+971|00971|\b0)\s?5[0-9](?:\s|-)?[0-9]{3}(?:\s|-)?[0-9]{4}\b")]
+
+
+def _hidden(text: str) -> str:
+    for _, label, pattern in _IDENTIFIERS:
+        text = f"regexp_replace({text}, '{pattern}', '{'\\1' if label == 'PASSPORT' else ''}[{label} HIDDEN]', 'g')"
+    return text
+
+
+O["planted_identifiers"] = f"""SELECT doc_id, {", ".join(f"len(regexp_extract_all(text || plant, '{p}'))::INT AS {k}" for k, _, p in _IDENTIFIERS)},
+  md5({_masked('text')} || {_hidden('plant')}) AS masked_md5
+  FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN {_PLANT} ELSE '' END AS plant FROM (SELECT *, lpad((doc_id % 10000000)::VARCHAR, 7, '0') AS num FROM documents))"""
 
 _ACCESS = f"CASE WHEN cls = 6 THEN '{','.join(V.ROLES)}' WHEN cls = 5 THEN 'executive' ELSE {ROLE_LIST}[cls + 1] || ',executive' END"
 O["library_listing"] = _with(BASE, select=f"""SELECT doc AS id, title, lang, {_ACCESS} AS access, cls IN (6, 1) AS can_read,
@@ -414,7 +425,8 @@ def _weighted(name: str, keys: str) -> str:
 
 COSINES = f"""
 pt AS (SELECT source AS coll, CAST(doc_id AS VARCHAR) AS doc, 'doc ' || doc_id || '. ' || text AS t FROM documents),
-qs AS (SELECT item_id AS qid, 'src' || item_id % 20 AS coll, text AS t FROM benchmark),
+turns AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS turn, count(*) OVER () AS turns FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+qs AS (SELECT item_id AS qid, source AS coll, text AS t FROM benchmark JOIN turns ON item_id % turns = turn),
 p_f AS MATERIALIZED ({_features('pt', 'coll, doc')}),
 q_f AS MATERIALIZED ({_features('qs', 'coll, qid')}),
 ft AS MATERIALIZED (
@@ -435,7 +447,7 @@ sdf AS (SELECT source, term, count(*) AS df FROM tf GROUP BY ALL),
 sst AS (SELECT source, count(*) AS passages, avg(len(toks)) AS mean_length FROM idx GROUP BY source),
 sscored AS (
   SELECT w.qid, tf.source AS coll, tf.doc, round(sum({_part('ln(1 + (passages - df + 0.5) / (df + 0.5))')}), 9) AS bm25
-  FROM qw w JOIN tf ON tf.term = w.term AND tf.source = 'src' || w.qid % 20 JOIN sdf ON sdf.source = tf.source AND sdf.term = tf.term
+  FROM qw w JOIN qs ON qs.qid = w.qid JOIN tf ON tf.term = w.term AND tf.source = qs.coll JOIN sdf ON sdf.source = tf.source AND sdf.term = tf.term
   JOIN sst ON sst.source = tf.source GROUP BY ALL),
 lex AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, doc) - 1 AS rank FROM sscored WHERE bm25 > 0 QUALIFY rank < 20),
 both_ AS (

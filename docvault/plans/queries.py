@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docvault import fixed_values as V
@@ -193,7 +193,8 @@ def planted_identifiers(spark, folder):
     number = F.lpad(F.pmod("doc_id", F.lit(10_000_000)).cast("string"), 7, "0")
     planted = F.concat(F.col("text"), F.lit("\n784-1988-"), number, F.lit("-3 784-1988-"), number, F.lit("-4; AE12000011112222"), number, F.lit("; passport no. N"), number,
                        F.lit("; +971 50 "), F.substring(number, 1, 3), F.lit(" "), F.substring(number, 4, 4))
-    rows = _docs(spark, folder).filter("doc_id % 3 = 0").select("doc_id", planted.alias("text"), F.lit("employee").alias("role"))
+    text = F.when(F.pmod("doc_id", F.lit(3)) == 0, planted).otherwise(F.col("text"))
+    rows = _docs(spark, folder).select("doc_id", text.alias("text"), F.lit("employee").alias("role"))
     rows = scanning.scan(rows)
     return rows.select("doc_id", F.md5("masked").alias("masked_md5"), *[F.coalesce(F.col("found")[k], F.lit(0)).alias(k) for k in ("emirates_id", "iban", "passport", "phone")])
 
@@ -371,12 +372,21 @@ def dense_cells_top5(spark, folder):
     return hits.select("qid", "doc", "dense", "rank")
 
 
+def _source_questions(spark, folder):
+    """Questions with the source of documents they go to: sources are numbered in their order and take turns."""
+    sources = table(spark, folder, "documents").filter("source is not null").select("source").distinct()
+    numbered = sources.select("source", (F.row_number().over(Window.orderBy("source")) - 1).alias("turn"))  # one row a source
+    numbered = materialise(numbered, "sources")
+    asked = benchmark_questions(spark, folder).withColumn("turn", F.pmod("qid", F.lit(max(1, numbered.count()))).cast("int"))
+    return lookup_join(asked, numbered, ["turn"]).withColumnRenamed("source", "coll").drop("turn")
+
+
 def _session_cosines(spark, folder, n):
     """Each source of documents as one session's collection, asked by the questions whose number matches."""
     docs = table(spark, folder, "documents").select(
         F.col("source").alias("coll"), F.col("doc_id").cast("string").alias("doc"), F.lit(0).alias("n"),
         F.concat(F.lit("doc "), "doc_id").alias("section"), "text", F.lit(False).alias("superseded"))
-    questions = benchmark_questions(spark, folder).select("qid", "q", F.concat(F.lit("src"), F.pmod("qid", F.lit(20))).alias("coll"))
+    questions = _source_questions(spark, folder).select("qid", "q", "coll")
     return tfidf.cosine_top(materialise(docs, "session-documents"), questions, n)
 
 
@@ -388,8 +398,7 @@ def tfidf_cosine_top5(spark, folder):
 @query
 def rrf_hybrid(spark, folder):
     index = _index(spark, folder)
-    questions = benchmark_questions(spark, folder).withColumns({
-        "role": F.lit("executive"), "sid": F.concat(F.lit("src"), F.pmod("qid", F.lit(20)))})
+    questions = _source_questions(spark, folder).withColumn("role", F.lit("executive")).withColumnRenamed("coll", "sid")
     by_source = index.join(table(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("doc"), "source"), "doc").withColumn("coll", F.col("source")).drop("source")
     by_source = materialise(by_source, "source-index")
