@@ -507,6 +507,14 @@ O["response_package"] = _with(*ANSWERS, _SHOWN, select=f"""
     (SELECT count(*) FROM shown WHERE shown.qid = s.qid)::INT AS n_sources,
     (SELECT md5(string_agg(safe_text, chr(10) ORDER BY rank)) FROM shown WHERE shown.qid = s.qid) AS shown_md5
   FROM safe s""")
+# The whole pipeline over passages: each passage takes a document's place, under a name that sorts by document and number.
+_OVER_PASSAGES = BASE.replace("idx AS MATERIALIZED (SELECT *, " + _tokens("title || '. ' || text") + " AS toks FROM lib)", _passages("text").strip() + f""",
+idx AS MATERIALIZED (SELECT * REPLACE (doc || chr(1) || lpad(n::VARCHAR, 9, '0') AS doc), {_tokens("section || '. ' || text")} AS toks FROM psg)""")
+_TALKS = (_OVER_PASSAGES, _hits(PERMITTED), PROFILE, SUPPORT, SENTENCES, _SHOWN)
+O["ask_lexical"] = _with(*_TALKS, select=f"""
+  SELECT s.qid, {ROLE_LIST}[s.qid % 6 + 1] AS role, 'en' AS lang, {_masked('s.text')} AS answer, refused, 'extractive' AS method, round(support, 3) AS support, 0 AS injections_blocked,
+    (len({_emails('s.text')}) + len({_cards('s.text')}) + coalesce((SELECT sum(hidden) FROM shown WHERE shown.qid = s.qid AND rank + 1 = s.cite AND NOT refused), 0))::INT AS total_masked
+  FROM safe s""")
 _BLOCK = "'[' || rank + 1 || '] ' || title || CASE WHEN superseded THEN ' (SUPERSEDED - older version)' ELSE '' END || ' - ' || title || chr(10) || text"
 O["prompt_build"] = _with(*ANSWERS, select=f"""SELECT qid, md5(u) AS user_md5, length(u) AS user_chars FROM (
   SELECT s.qid, 'Sources:' || chr(10) || string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: ' || any_value(p.q) AS u
