@@ -442,6 +442,13 @@ near20 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid, coll ORDE
 """
 _GLOSS = f"gloss(term, variant) AS (VALUES {_glossary_rows()})"
 O["tfidf_cosine_top5"] = _with(_GLOSS, COSINES, select="SELECT qid, coll, doc, dense, rank FROM near20 WHERE rank < 5")
+O["svd_energy"] = _with(_GLOSS, f"""
+wt AS (SELECT doc_id AS doc, 'doc ' || doc_id || '. ' || text AS t FROM documents),
+w_f AS MATERIALIZED ({_features('wt', 'doc')}),
+wdf AS (SELECT block, feature, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1 AS idf FROM w_f GROUP BY ALL),
+ww AS (SELECT doc, block, tf * idf AS w FROM w_f JOIN wdf USING (block, feature)),
+wb AS (SELECT sum(w * w) AS own, block FROM (SELECT block, w / sqrt(sum(w * w) OVER (PARTITION BY doc, block)) * CASE block WHEN 'c' THEN {V.CHAR_BLOCK_WEIGHT} ELSE 1 END AS w FROM ww) GROUP BY block)""",
+    select="SELECT (SELECT count(*) FROM documents) AS passages, (SELECT count(*) FROM wdf) AS features, round(sum(own), 4) AS energy FROM wb")
 O["rrf_hybrid"] = _with(BASE, COSINES, f"""
 sdf AS (SELECT source, term, count(*) AS df FROM tf GROUP BY ALL),
 sst AS (SELECT source, count(*) AS passages, avg(len(toks)) AS mean_length FROM idx GROUP BY source),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docvault import fixed_values as V
 from docvault.functions import injection, pii
 from docvault.functions import text as T
-from docvault.operators import (access, answers, block_max, cells, dense, evaluation, evidence, fusion, glossary, lexical, limits, passages,
+from docvault.operators import (access, answers, block_max, cells, dense, evaluation, evidence, fusion, glossary, lexical, limits, lsa, passages,
                                 responses, scanning, sessions, tfidf, validation, verification)
 from docvault.plans.ask import ask, search
 from docvault.plans.library import build_library
@@ -607,6 +607,15 @@ def latency_percentiles(spark, folder):
     return evaluation.latency_percentiles(table(spark, folder, "events"), "value")
 
 
+@query
+def svd_energy(spark, folder):
+    """Squared entries of the TF-IDF matrix of whole documents, by the squared singular values and what the basis leaves over."""
+    whole = passages.whole_documents(library_documents(spark, folder))
+    model = lsa.fit(whole, ["coll", "doc", "n"], lexical.indexed_text(F.col("section"), F.col("text")), components=32, rounds=2)
+    energy = F.lit(float((model.singular ** 2).sum() + model.residual))
+    return model.vectors.agg(F.count(F.lit(1)).alias("passages")).crossJoin(model.features.agg(F.count(F.lit(1)).alias("features"))).withColumn("energy", F.round(energy, 4))
+
+
 # ------------------------------------------------------------------ whole pipeline
 @query
 def hybrid_search(spark, folder):

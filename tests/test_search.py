@@ -161,10 +161,24 @@ def test_char_ngrams_of_padded_words(spark):
         assert sorted(got) == plain(text), text
 
 
-@pytest.mark.parametrize("alphabet,size", [("abcdefghijklmnopqrstuvwxyz", 60), ("ab", 90)])
-def test_svd_against_numpy(spark, monkeypatch, alphabet, size):
-    """Singular values and the space of the passages equal those of a dense SVD, with features or passages on the longer side."""
+def test_triangle_keeps_small_singular_values(spark, monkeypatch):
+    # Columns of which the smallest is a billionth of the largest: squaring would lose it.
     monkeypatch.setattr(blocks, "SIDE", 16)
+    monkeypatch.setattr(blocks, "FAN_IN", 2)
+    draw = np.random.default_rng(2)
+    m = np.linalg.qr(draw.normal(0, 1, (80, 5)))[0] * np.array([1, 1e-3, 1e-6, 1e-8, 1e-9])
+    dense = spark.createDataFrame([(k, m[16 * k:16 * k + 16].tobytes()) for k in range(5)], "block bigint, data binary").repartition(3)
+    r = blocks.triangle(dense, 5, 5)
+    assert np.linalg.svd(r, compute_uv=False) == pytest.approx([1, 1e-3, 1e-6, 1e-8, 1e-9], rel=1e-5)
+    assert np.abs(np.tril(r, -1)).max() < 1e-15
+
+
+@pytest.mark.parametrize("alphabet,size,sent", [("abcdefghijklmnopqrstuvwxyz", 60, 48 << 20), ("ab", 90, 0)])
+def test_svd_against_numpy(spark, monkeypatch, alphabet, size, sent):
+    """Singular values and the space of the passages equal those of a dense SVD, with features or passages on the longer side,
+    with the short factor broadcast or joined."""
+    monkeypatch.setattr(blocks, "SIDE", 16)
+    monkeypatch.setattr(blocks, "SENT_BYTES", sent)
     draw = np.random.default_rng(len(alphabet))
     texts = [" ".join("".join(draw.choice(list(alphabet), int(draw.integers(1, 3)))) for _ in range(int(draw.integers(1, 9)))) for _ in range(size)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc bigint, t string").repartition(3)
@@ -182,6 +196,9 @@ def test_svd_against_numpy(spark, monkeypatch, alphabet, size):
         right[at[r.block, r.feature]] = r.vec
     assert model.components == 6 and right.T @ right == pytest.approx(np.eye(6), abs=1e-8)
     assert np.linalg.norm(a @ right, axis=0) == pytest.approx(sigma[:6], rel=1e-3)
+    # The identity: what the basis has and what it leaves over is the whole matrix.
+    assert (model.singular ** 2).sum() + model.residual == pytest.approx((a * a).sum(), rel=1e-9)
+    assert model.residual == pytest.approx((sigma[len(model.singular):] ** 2).sum(), rel=0.05, abs=1e-6)
     own = np.zeros((size, 6))
     for r in model.vectors.collect():
         own[r.doc] = r.vec
