@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from docvault import fixed_values as V
 from docvault.operators import glossary
 from docvault.plans.queries import HALF_DAY, NOON
@@ -522,12 +524,40 @@ O["ask_lexical"] = _with(*_TALKS, select=f"""
   SELECT s.qid, {ROLE_LIST}[s.qid % 6 + 1] AS role, 'en' AS lang, {_masked('s.text')} AS answer, refused, 'extractive' AS method, round(support, 3) AS support, 0 AS injections_blocked,
     (len({_emails('s.text')}) + len({_cards('s.text')}) + coalesce((SELECT sum(hidden) FROM shown WHERE shown.qid = s.qid AND rank + 1 = s.cite AND NOT refused), 0))::INT AS total_masked
   FROM safe s""")
+_UPLOAD = r"left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, '</w:p>', chr(10)), '<[^>]+>', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'), 200000)"
+# Sessions: uploads are cut and indexed by themselves, each session with its own statistics.
+_UPLOADED = re.sub(r"\b(sect|cut\d+|lens|walk|outs|psg|lib)\b", r"u_\1", _passages("text"))
+
+
+def _session_search() -> str:
+    part = f"w.weight * ln(1 + (s.passages - d.df + 0.5) / (d.df + 0.5)) * t.tf * {V.BM25_K1 + 1} / (t.tf + {V.BM25_K1} * ({1 - V.BM25_B} + {V.BM25_B} * t.len / s.mean_length))"
+    return _with(_OVER_PASSAGES, _hits(PERMITTED), f"""
+u_lib AS MATERIALIZED (SELECT page_id AS doc_id, 'page' || page_id AS doc, 'page' || page_id AS title, text,
+  CASE WHEN page_id % 2 = 0 THEN 'one' || page_id ELSE 'many' || page_id % 7 END AS coll FROM (SELECT page_id, {_UPLOAD} AS text FROM pages) WHERE length(text) >= 20),
+{_UPLOADED},
+u_one AS (SELECT coll, doc, n, {_tokens("section || '. ' || text")} AS toks FROM u_psg),
+u_idx AS MATERIALIZED (SELECT * FROM u_one UNION ALL SELECT * REPLACE (-1 AS n) FROM u_one WHERE coll IN (SELECT coll FROM u_one GROUP BY coll HAVING count(*) = 1)),
+u_tf AS MATERIALIZED (SELECT coll, doc, n, len, term, count(*) AS tf FROM (SELECT coll, doc, n, len(toks) AS len, unnest(toks) AS term FROM u_idx) GROUP BY ALL),
+u_st AS (SELECT coll, count(*) AS passages, avg(len(toks)) AS mean_length FROM u_idx GROUP BY coll),
+u_df AS (SELECT coll, term, count(*) AS df FROM u_tf GROUP BY ALL),
+asks AS (SELECT item_id AS qid, CASE WHEN item_id % 2 = 0 THEN 'one' || item_id ELSE 'many' || item_id % 7 END AS coll FROM benchmark),
+u_sc AS (SELECT w.qid, t.coll, t.doc, t.n, round(sum({part}), 9) AS bm25 FROM qw w JOIN asks a ON a.qid = w.qid JOIN u_tf t ON t.coll = a.coll AND t.term = w.term
+  JOIN u_df d ON d.coll = t.coll AND d.term = t.term JOIN u_st s ON s.coll = t.coll GROUP BY ALL),
+u_hit AS (SELECT *, round(1.0 / ({V.RRF_K} + row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, doc, n) - 1), 12) AS score FROM u_sc WHERE bm25 > 0
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, doc, n) <= 5),
+every AS (SELECT qid, coll, doc, n, bm25, score FROM u_hit
+  UNION ALL SELECT qid, 'library', split_part(doc, chr(1), 1), split_part(doc, chr(1), 2)::INT, bm25, score FROM hits),
+merged AS (SELECT * REPLACE (CASE WHEN n = -1 THEN 0 ELSE n END AS n), row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc, n) AS rank FROM every QUALIFY rank <= 5),
+shown_once AS (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY qid, coll, doc, n ORDER BY rank) = 1)""",
+        select="SELECT qid, coll, doc, n::INT AS n, bm25, score, row_number() OVER (PARTITION BY qid ORDER BY rank) - 1 AS rank FROM shown_once")
+
+
 _BLOCK = "'[' || rank + 1 || '] ' || title || CASE WHEN superseded THEN ' (SUPERSEDED - older version)' ELSE '' END || ' - ' || title || chr(10) || text"
+O["session_search"] = _session_search()
 O["prompt_build"] = _with(*ANSWERS, select=f"""SELECT qid, md5(u) AS user_md5, length(u) AS user_chars FROM (
   SELECT s.qid, 'Sources:' || chr(10) || string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: ' || any_value(p.q) AS u
   FROM sup s JOIN prof p USING (qid) GROUP BY s.qid)""")
 
-_UPLOAD = r"left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(html, '</w:p>', chr(10)), '<[^>]+>', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'), 200000)"
 O["html_strip_upload"] = f"""SELECT page_id, md5(text) AS text_md5, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words,
   CASE WHEN length(regexp_replace(left(text, 2000), '[^\\x{{600}}-\\x{{6FF}}]', '', 'g')) > 0.4 * length(regexp_replace(left(text, 2000), '[^\\p{{L}}]', '', 'g')) THEN 'ar' ELSE 'en' END AS lang
   FROM (SELECT page_id, {_UPLOAD} AS text FROM pages) WHERE length(text) >= 20"""

@@ -12,7 +12,7 @@ from docvault.functions import injection, pii
 from docvault.functions import text as T
 from docvault.operators import (access, answers, block_max, cells, dense, evaluation, evidence, fusion, glossary, lexical, limits, lsa, passages,
                                 responses, scanning, sessions, tfidf, validation, verification)
-from docvault.plans.ask import ask, search
+from docvault.plans.ask import add_sessions, ask, search
 from docvault.plans.library import build_library
 from docvault.session import fresh_path, is_small, lookup_join, materialise
 from docvault.sources import audit
@@ -624,6 +624,26 @@ def hybrid_search(spark, folder):
     return hits.select("qid", "doc", "n", "rank_bm25", "rank_dense", "score", "rank")
 
 
+def _page_uploads(spark, folder):
+    """Pages as uploads: every other page in a session of its own, the others together in seven sessions."""
+    pages = table(spark, folder, "pages").select("page_id", F.substring(tidy(strip_markup(F.col("html"))), 1, V.MAX_UPLOAD_CHARS).alias("text"))
+    name = F.concat(F.lit("page"), "page_id")
+    sid = F.when(F.pmod("page_id", F.lit(2)) == 0, F.concat(F.lit("one"), "page_id")).otherwise(F.concat(F.lit("many"), F.pmod("page_id", F.lit(7))))
+    return pages.filter(F.length("text") >= V.MIN_UPLOAD_CHARS).select(
+        name.alias("id"), name.alias("title"), F.lit("").alias("title_ar"), F.array(*[F.lit(r) for r in V.ROLES]).alias("access"), F.lit("Uploaded").alias("classification"),
+        F.lit("").alias("owner"), F.lit("en").alias("lang"), "text", F.lit(True).alias("uploaded"), F.lit(None).cast("map<string,int>").alias("pii"),
+        F.lit("current").alias("status"), F.lit("").alias("superseded_by"), sid.alias("coll"))
+
+
+@query
+def session_search(spark, folder):
+    """Questions of sessions over the library and the session's own uploads, merged; a session's only passage counts twice."""
+    library = add_sessions(build_library(library_documents(spark, folder), dense=False), _page_uploads(spark, folder))
+    sid = F.when(F.pmod("qid", F.lit(2)) == 0, F.concat(F.lit("one"), "qid")).otherwise(F.concat(F.lit("many"), F.pmod("qid", F.lit(7))))
+    hits = search(library, benchmark_questions(spark, folder).withColumn("sid", sid), method="bm25")
+    return hits.select("qid", "coll", "doc", "n", "bm25", "score", "rank")
+
+
 @query
 def ask_lexical(spark, folder):
     library = build_library(library_documents(spark, folder), dense=False)
