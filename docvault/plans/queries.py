@@ -11,7 +11,7 @@ from docvault import fixed_values as V
 from docvault.functions import injection, pii
 from docvault.functions import text as T
 from docvault.operators import (access, answers, block_max, cells, dense, evaluation, evidence, fusion, glossary, lexical, limits, lsa, passages,
-                                responses, scanning, sessions, tfidf, validation, verification)
+                                responses, scanning, sessions, sketches, tfidf, validation, verification)
 from docvault.plans.ask import add_sessions, ask, search
 from docvault.plans.library import build_library
 from docvault.session import fresh_path, is_small, lookup_join, materialise
@@ -607,6 +607,19 @@ def latency_percentiles(spark, folder):
     return evaluation.latency_percentiles(table(spark, folder, "events"), "value")
 
 
+@query
+def latency_sketches(spark, folder):
+    """Percentiles of each kind of event from hourly sketches, and whether their exact ranks are within the sketch's error."""
+    events = table(spark, folder, "events").select("event_type", "ts", "value")
+    hourly = materialise(sketches.window_sketches(events, "ts", "value", by=["event_type"]), "sketches")
+    found = materialise(sketches.percentiles(sketches.merged(hourly, ["event_type"]), {"p50": 0.5, "p95": 0.95}, ["event_type"]), "percentiles")
+    ranked = lookup_join(events.filter("value is not null and ts is not null"), found, ["event_type"])
+    ranks = ranked.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), *[F.avg((F.col("value") <= F.col(p)).cast("double")).alias(p) for p in ("p50", "p95")])
+    # Twice the error of a sketch: it holds with a probability of 99 percent for one.
+    near = [(F.abs(F.col(p) - share) <= 2 * sketches.RANK_ERROR + 1 / F.col("n")).alias(f"{p}_near") for p, share in (("p50", 0.5), ("p95", 0.95))]
+    return ranks.select("event_type", "n", *near)
+
+
 @query
 def svd_energy(spark, folder):
     """Squared entries of the TF-IDF matrix of whole documents, by the squared singular values and what the basis leaves over."""
