@@ -595,6 +595,7 @@ _UPS = f"""SELECT u.event_id, u.sid, epoch_us(u.ts) AS at_us, least(epoch_us(u.t
   FROM (SELECT *, 'session' || user_id AS sid, 'up_' || event_id AS id FROM events WHERE event_type = 'purchase') u LEFT JOIN gone g ON g.sid = u.sid AND g.id = u.id"""
 O["upload_cap"] = f"""WITH {_GONE}, {_admission(_UPS, 'sid', 'lim')}
   SELECT r.event_id, r.sid, ok.event_id IS NOT NULL AS admitted FROM ({_UPS}) r LEFT JOIN ok ON ok.event_id = r.event_id"""
+O["upload_cap_streamed"] = O["upload_cap"]
 O["upload_deletes"] = f"""WITH {_GONE} SELECT event_id, sid, id FROM (SELECT event_id, 'session' || user_id AS sid, 'up_' || event_id AS id FROM events WHERE event_type = 'purchase')
   ANTI JOIN gone USING (sid, id)"""
 O["question_validation"] = r"""SELECT conv_id, turn, CASE WHEN length(q) NOT BETWEEN 2 AND 400 THEN 'question must be 2-400 characters'

@@ -19,7 +19,7 @@ from docvault.sources import audit
 from docvault.sources.tables import (audit_trail, benchmark_questions, deletion_log, library_documents, request_log, table,
                                      upload_log)
 from docvault.sources.uploads import strip_markup, tidy
-from docvault.streaming.admission import rate_limit_stream
+from docvault.streaming.admission import rate_limit_stream, upload_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -549,17 +549,38 @@ def rate_limit(spark, folder):
     return limits.rate_limited(requests, 3, 2, HALF_DAY * 2).select("event_id", "client", "method", "admitted")
 
 
-@query
-def rate_limit_streamed(spark, folder):
-    """The same verdicts from a stream over the events file."""
+def _in_slices(spark, folder, slices=4):
+    """A stream over the events, one file after the other in the order of time, so that state is carried between micro-batches."""
     events = table(spark, folder, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.agg(F.percentile_approx(at, [k / slices for k in range(1, slices)])).first()[0] or []
+    source = fresh_path(spark, "slices")
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = events if low is None else events.filter(at > low)
+        (part if high is None else part.filter(at <= high)).coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+def _streamed(spark, verdicts):
     target = fresh_path(spark, "verdicts")
-    verdicts = rate_limit_stream(request_log(stream), 3, 2, HALF_DAY * 2, "30 days")
     running = (verdicts.writeStream.format("parquet").option("path", target)
                .option("checkpointLocation", f"{target}-checkpoint").trigger(availableNow=True).start())
     running.awaitTermination()
-    return spark.read.parquet(target).select("event_id", F.col("key").alias("client"), F.col("kind").alias("method"), "admitted")
+    return spark.read.parquet(target)
+
+
+@query
+def rate_limit_streamed(spark, folder):
+    """The same verdicts from a stream over the events, in several micro-batches."""
+    verdicts = rate_limit_stream(request_log(_in_slices(spark, folder)), 3, 2, HALF_DAY * 2, "30 days")
+    return _streamed(spark, verdicts).select("event_id", F.col("key").alias("client"), F.col("kind").alias("method"), "admitted")
+
+
+@query
+def upload_cap_streamed(spark, folder):
+    """The verdicts of ``upload_cap`` from two streams, uploads and deletions, in several micro-batches."""
+    verdicts = upload_stream(upload_log(_in_slices(spark, folder)), 2, HALF_DAY * 10, "30 days", deletion_log(_in_slices(spark, folder)), HALF_DAY * 10_000)
+    return _streamed(spark, verdicts).select("event_id", F.col("key").alias("sid"), "admitted")
 
 
 @query

@@ -51,9 +51,52 @@ def rate_limit_stream(requests: DataFrame, reads: int = V.READS_PER_MIN, writes:
     return _admit_stream(events, {"GET": reads, "POST": writes}, window_seconds, delay)
 
 
-def upload_stream(uploads: DataFrame, cap: int = V.MAX_UPLOADS_PER_SESSION,
-                  ttl_seconds: int = V.UPLOAD_TTL_MIN * 60, delay: str = "1 minute") -> DataFrame:
-    """Uploads (event_id, sid, created) with the verdict on the cap of live files."""
-    events = uploads.select(F.col("event_id").cast("bigint").alias("event_id"), F.col("sid").alias("key"),
-                            F.lit("upload").alias("kind"), F.col("created").cast("timestamp").alias("ts"))
-    return _admit_stream(events, {"upload": cap}, ttl_seconds, delay)
+def upload_stream(uploads: DataFrame, cap: int = V.MAX_UPLOADS_PER_SESSION, ttl_seconds: int = V.UPLOAD_TTL_MIN * 60,
+                  delay: str = "1 minute", deletions: DataFrame | None = None, remember_seconds: int | None = None) -> DataFrame:
+    """Uploads (event_id, sid, id, created) with the verdict on the cap of live files; rows of (event_id, key, ts, admitted).
+
+    ``deletions`` (sid, id, ts) is a second stream: a session's deletion frees its file's place from that instant on. A deletion that comes
+    before its upload is remembered for ``remember_seconds``, by default as long as a file lives. Both streams are taken in the
+    order of their times, deletions first; what arrives later than the watermark allows is dropped by the engine.
+    """
+    own = uploads.select(F.col("event_id").cast("bigint").alias("event_id"), F.col("sid").cast("string").alias("key"), F.col("id").cast("string").alias("id"),
+                         F.col("created").cast("timestamp").alias("ts"))
+    events = own
+    if deletions is not None:
+        gone = deletions.select(F.lit(None).cast("bigint").alias("event_id"), F.col("sid").cast("string").alias("key"), F.col("id").cast("string").alias("id"),
+                                F.col("ts").cast("timestamp").alias("ts"))
+        events = own.unionByName(gone)
+    width, memory = ttl_seconds * 1_000_000, (ttl_seconds if remember_seconds is None else remember_seconds) * 1_000_000
+
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ids, ends, early, early_at = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+        live, waiting = dict(zip(ids, ends, strict=True)), dict(zip(early, early_at, strict=True))
+        rows = pd.concat(list(chunks))  # one session's rows of one micro-batch
+        rows["deletes"] = rows["event_id"].isna()
+        rows["micros"] = rows["ts"].astype("datetime64[us]").astype("int64")
+        rows = rows.sort_values(["micros", "deletes", "event_id"], ascending=[True, False, True])
+        verdicts = []
+        for now, deletes, name in zip(rows["micros"], rows["deletes"], rows["id"], strict=True):
+            live = {k: e for k, e in live.items() if e >= now}
+            if deletes:
+                if name in live:
+                    del live[name]
+                else:
+                    waiting.setdefault(name, now)
+                continue
+            verdicts.append(len(live) < cap)
+            if verdicts[-1] and name not in waiting:
+                live[name] = now + width
+        latest = int(rows["micros"].iloc[-1])
+        waiting = {k: t for k, t in waiting.items() if t >= latest - memory}
+        state.update((list(live), list(live.values()), list(waiting), list(waiting.values())))
+        last = max([*live.values(), *(t + memory for t in waiting.values()), latest])
+        state.setTimeoutTimestamp(int(max(last // 1000 + 1, state.getCurrentWatermarkMs() + 1)))
+        yield rows.loc[~rows["deletes"], ["event_id", "key", "ts"]].astype({"event_id": "int64"}).assign(admitted=verdicts)
+
+    return events.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(
+        step, "event_id bigint, key string, ts timestamp, admitted boolean", "ids array<string>, ends array<bigint>, early array<string>, early_at array<bigint>",
+        "append", GroupStateTimeout.EventTimeTimeout)

@@ -42,6 +42,41 @@ def test_streamed_verdicts_equal_batch(spark, tmp_path):
     assert got == brute(rows, {"GET": 4, "POST": 2}, 60)
 
 
+def test_streamed_state_is_carried_between_batches(spark, tmp_path):
+    rows, df = requests(spark, 400)
+    cuts = [1_700_000_000 + k * 600 for k in range(5)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        part = df.filter((F.unix_seconds("ts") >= low) & (F.unix_seconds("ts") < (high if high < cuts[-1] else 2 * high)))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = (admission.rate_limit_stream(stream, 4, 2, 60, "1 hour").writeStream.format("memory").queryName("carried")
+         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert len(q.recentProgress) >= 4
+    got = {r.event_id: r.admitted for r in spark.table("carried").collect()}
+    assert got == brute(rows, {"GET": 4, "POST": 2}, 60)
+
+
+def test_streamed_uploads_with_deletions(spark, tmp_path):
+    rng = random.Random(7)
+    ups = [(i, f"s{rng.randint(0, 3)}", f"up_{i}", at(rng.uniform(0, 200))) for i in range(120)]
+    gone = [(u[1] if rng.random() < 0.8 else "s9", u[2], u[3] + timedelta(minutes=rng.uniform(-5, 40))) for u in ups if rng.random() < 0.5]
+    uploads = spark.createDataFrame(ups, "event_id bigint, sid string, id string, created timestamp")
+    deletions = spark.createDataFrame(gone, "sid string, id string, ts timestamp")
+    want = {r.event_id: r.admitted for r in sessions.accepted_uploads(uploads, deletions, 2, 1800).collect()}
+    both = uploads.select("event_id", "sid", "id", F.col("created").alias("ts")).unionByName(deletions.select(F.lit(None).cast("bigint").alias("event_id"), "sid", "id", "ts"))
+    for k in range(4):  # one file after the other, in the order of time
+        part = both.filter((F.col("ts") >= F.lit(at(-10 + 60 * k))) & (F.col("ts") < F.lit(at(-10 + 60 * (k + 1) if k < 3 else 10**5))))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    verdicts = admission.upload_stream(stream().filter("event_id is not null").withColumnRenamed("ts", "created"), 2, 1800, "5 hours",
+                                       stream().filter("event_id is null").drop("event_id"))
+    q = verdicts.writeStream.format("memory").queryName("uploaded").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(q.recentProgress) >= 3
+    assert {r.event_id: r.admitted for r in spark.table("uploaded").collect()} == want and not all(want.values())
+
+
 def at(minute):
     return datetime(2024, 5, 1, 10) + timedelta(minutes=minute)
 
