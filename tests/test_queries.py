@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="supplied tables absent")
 NAMES = ["token_counts", "sentence_counts", "pii_redacted", "sanitise_lines", "library_listing", "term_idf", "bm25_permission_top5",
-         "dense_permission_top5", "extractive_answer", "html_strip_upload", "rate_limit", "upload_cap", "audit_last_n"]
+         "dense_permission_top5", "dense_cells_top5", "planted_sections", "session_search", "extractive_answer", "html_strip_upload", "rate_limit", "upload_cap", "audit_last_n"]
 
 
 def _rows(names, rows):
