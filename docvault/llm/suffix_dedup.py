@@ -40,7 +40,7 @@ LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 1 << 20
 KEYED_BYTES = 32 << 20      # text whose keys share a bucket
-BUCKET_BYTES = 4 << 20      # shared spans per bucket
+BUCKET_BYTES = 2 << 20      # shared spans per bucket; a task holds some dozen times as much while it sorts them
 RUN_BYTES = 67              # mean length of a span: 35 grams to a window, a new least one after every 17 or so
 HOT_SPANS = 100_000         # beyond so many spans a key is replaced by its windows' hashes
 LAST = (1 << 63) - 1        # a null id
