@@ -62,37 +62,41 @@ class ByteNetwork:
             out[low:low + BATCH] = _log_softmax(top @ self.p["out"] + self.p["bias"])
         return out
 
+    def gradients(self, part: np.ndarray, classes: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy of windows; only the place of a filter's maximum passes a gradient back."""
+        n = len(part)
+        columns = self._columns(part)
+        places = len(columns) // n
+        slid = (columns @ self.p["filters"]).reshape(n, places, -1)
+        best = slid.argmax(axis=1)
+        raw = np.take_along_axis(slid, best[:, None], 1)[:, 0] + self.p["shift"]
+        top = np.maximum(raw, 0)
+        slope = np.exp(_log_softmax(top @ self.p["out"] + self.p["bias"]))
+        slope[np.arange(n), classes] -= 1
+        slope /= n
+        grad = {"out": top.T @ slope, "bias": slope.sum(0)}
+        back = (slope @ self.p["out"].T) * (raw > 0)
+        grad["shift"] = back.sum(0)
+        rows = np.arange(n)[:, None] * places + best
+        met = columns[rows]                                    # n, filters, width * depth
+        grad["filters"] = np.einsum("nf,nfd->df", back, met) * self.mask
+        down = back[:, :, None] * self.p["filters"].T[None]     # to the embeddings under each maximum
+        grad["embed"] = np.zeros_like(self.p["embed"])
+        under = part[np.arange(n)[:, None, None], best[:, :, None] + np.arange(max(WIDTHS))]
+        np.add.at(grad["embed"], under.ravel(), down.reshape(-1, DEPTH))
+        grad["embed"][0] = 0
+        return grad
+
     def fit(self, windows: np.ndarray, classes: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> None:
-        """Adam on cross entropy; only the place of a filter's maximum passes a gradient back."""
+        """Adam on cross entropy."""
         draw, step = np.random.default_rng(seed), 0
         mean, square = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         for _ in range(epochs):
             order = draw.permutation(len(windows))
             for low in range(0, len(order), batch):
                 pick = order[low:low + batch]
-                part, n = windows[pick], len(pick)
-                columns = self._columns(part)
-                places = len(columns) // n
-                slid = (columns @ self.p["filters"]).reshape(n, places, -1)
-                best = slid.argmax(axis=1)
-                raw = np.take_along_axis(slid, best[:, None], 1)[:, 0] + self.p["shift"]
-                top = np.maximum(raw, 0)
-                slope = np.exp(_log_softmax(top @ self.p["out"] + self.p["bias"]))
-                slope[np.arange(n), classes[pick]] -= 1
-                slope /= n
-                grad = {"out": top.T @ slope, "bias": slope.sum(0)}
-                back = (slope @ self.p["out"].T) * (raw > 0)
-                grad["shift"] = back.sum(0)
-                rows = np.arange(n)[:, None] * places + best
-                met = columns[rows]                                    # n, filters, width * depth
-                grad["filters"] = np.einsum("nf,nfd->df", back, met) * self.mask
-                down = back[:, :, None] * self.p["filters"].T[None]     # to the embeddings under each maximum
-                grad["embed"] = np.zeros_like(self.p["embed"])
-                under = part[np.arange(n)[:, None, None], best[:, :, None] + np.arange(max(WIDTHS))]
-                np.add.at(grad["embed"], under.ravel(), down.reshape(-1, DEPTH))
-                grad["embed"][0] = 0
                 step += 1
-                for k, g in grad.items():
+                for k, g in self.gradients(windows[pick], classes[pick]).items():
                     mean[k] += 0.1 * (g - mean[k])
                     square[k] += 0.01 * (g * g - square[k])
                     self.p[k] -= (rate * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-7)).astype(np.float32)
