@@ -31,6 +31,21 @@ WRITES_PER_MIN = 30
 MAX_IDF_WEIGHT = 6.0
 EMPTY_IDF_WEIGHT = 3.0
 MIN_SUPPORT = 0.4
+# Least best support of a question with several unknown terms, and with one.
+UNKNOWN_TERMS_SUPPORT = 0.75
+UNKNOWN_TERM_SUPPORT = 0.6
+# Parts of a sentence's score: coverage with and without its section, support of its source, rank, word pairs, older version, number.
+SECTION_WEIGHT = 0.5
+SENTENCE_WEIGHT = 0.5
+SOURCE_WEIGHT = 0.15
+RANK_WEIGHT = 0.03
+PAIR_WEIGHT = 0.12
+MOST_PAIRS = 2
+SUPERSEDED_WEIGHT = 0.3
+NUMBER_WEIGHT = 0.12
+# A neighbour is quoted along if it is among so many best sentences and scores so large a share of the best.
+QUOTED_FROM = 4
+NEIGHBOUR_SHARE = 0.85
 
 # ------------------------------------------------------------------ tokens (Java regular expressions)
 AR_LETTERS = r"[\x{600}-\x{6FF}]"

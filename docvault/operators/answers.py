@@ -29,7 +29,7 @@ def gates(profiles: DataFrame, supported: DataFrame) -> DataFrame:
     best = supported.groupBy("qid").agg(F.max("support").alias("best"))
     both = profiles.select("qid", "lang", F.size("unknown").alias("unknown")).join(best, "qid", "left")
     both = both.withColumn("best", F.coalesce("best", F.lit(0.0)))
-    missing = ((F.col("unknown") >= 2) & (F.col("best") < 0.75)) | ((F.col("unknown") == 1) & (F.col("best") < 0.6))
+    missing = ((F.col("unknown") >= 2) & (F.col("best") < V.UNKNOWN_TERMS_SUPPORT)) | ((F.col("unknown") == 1) & (F.col("best") < V.UNKNOWN_TERM_SUPPORT))
     return both.select("qid", "lang", "best", F.when(missing, "unknown_term").alias("note"),
                        (missing | (F.col("best") < V.MIN_SUPPORT)).alias("refuse"))
 
@@ -41,24 +41,24 @@ def sentence_scores(supported: DataFrame) -> DataFrame:
         "sent_tokens", tokens("sentence"))
     mentioned = F.concat("title_tokens", "section_tokens", "sent_tokens")
     rows = rows.filter((F.size("key_variants") == 0) | F.arrays_overlap("key_variants", mentioned))
-    shared = F.least(F.size(F.array_intersect("pairs", pairs(F.col("sent_tokens")))), F.lit(2))
+    shared = F.least(F.size(F.array_intersect("pairs", pairs(F.col("sent_tokens")))), F.lit(V.MOST_PAIRS))
     has_number = F.col("wants_number") & (F.size(numbers(F.col("sentence"))) > 0)
-    score = (0.5 * coverage(F.col("terms"), F.concat("section_tokens", "sent_tokens"))
-             + 0.5 * coverage(F.col("terms"), F.col("sent_tokens"))
-             + 0.15 * F.col("support") - 0.03 * F.col("rank") + 0.12 * shared
-             - F.when(F.col("superseded"), 0.3).otherwise(0.0) + F.when(has_number, 0.12).otherwise(0.0))
+    score = (V.SECTION_WEIGHT * coverage(F.col("terms"), F.concat("section_tokens", "sent_tokens"))
+             + V.SENTENCE_WEIGHT * coverage(F.col("terms"), F.col("sent_tokens"))
+             + V.SOURCE_WEIGHT * F.col("support") - V.RANK_WEIGHT * F.col("rank") + V.PAIR_WEIGHT * shared
+             - F.when(F.col("superseded"), V.SUPERSEDED_WEIGHT).otherwise(0.0) + F.when(has_number, V.NUMBER_WEIGHT).otherwise(0.0))
     return rows.select("qid", "rank", "pos", "sentence", "doc", "superseded", "support", F.round(score, 9).alias("score"))
 
 
 def pick_sentences(scored: DataFrame) -> DataFrame:
     """(qid, picked, citation, support, superseded): the best sentence, with a nearly equal neighbour if any."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "rank", "pos")
-    first4 = scored.withColumn("place", F.row_number().over(order)).filter("place <= 4")
-    listed = first4.groupBy("qid").agg(F.array_sort(F.collect_list(
+    first = scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= V.QUOTED_FROM)
+    listed = first.groupBy("qid").agg(F.array_sort(F.collect_list(
         F.struct("place", "rank", "pos", "score", "sentence", "support", "superseded"))).alias("c"))
     listed = listed.withColumn("top", F.col("c")[0])
     near = F.filter("c", lambda x: (x["place"] > 1) & (x["rank"] == F.col("top.rank"))
-                    & (F.abs(x["pos"] - F.col("top.pos")) == 1) & (x["score"] >= 0.85 * F.col("top.score")))
+                    & (F.abs(x["pos"] - F.col("top.pos")) == 1) & (x["score"] >= V.NEIGHBOUR_SHARE * F.col("top.score")))
     both = F.concat(F.array("top"), F.slice(near, 1, 1))
     in_order = F.array_sort(F.transform(both, lambda x: F.struct(x["pos"], F.rtrim(x["sentence"]).alias("sentence"))))
     return listed.select("qid", F.array_join(F.transform(in_order, lambda x: x["sentence"]), " ").alias("picked"),
