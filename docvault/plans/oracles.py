@@ -325,6 +325,18 @@ O["document_reader"] = _with(BASE, select=f"""SELECT doc AS doc_id, md5({_masked
 O["reader_denied"] = _with(BASE, select="SELECT doc AS id, source AS owner FROM lib WHERE cls NOT IN (6, 3)")
 O["superseded_documents"] = _with(BASE, select="SELECT doc AS id, source AS owner FROM lib WHERE superseded")
 
+O["library_files"] = f"""SELECT 'd' || doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'file.' || doc_id ELSE 'Doc: number ' || doc_id END AS title,
+  CASE doc_id % 3 WHEN 0 THEN 'hr,legal' WHEN 1 THEN '' ELSE 'executive' END AS access, 'Internal' AS classification, lang,
+  CASE WHEN doc_id % 5 = 0 THEN 'superseded' ELSE 'current' END AS status, CASE WHEN doc_id % 5 = 0 THEN 'd' || doc_id + 1 ELSE '' END AS superseded_by,
+  md5({_STRIPPED.format('t')}) AS text_md5, len({_emails('t')}) AS email, len({_cards('t')}) AS card FROM (SELECT *, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS t FROM documents)"""
+_TIDY = "left(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), 200000)"
+O["upload_files"] = f"""SELECT 's' || doc_id AS sid, 'f' || doc_id || (['.txt', '.md', '.bin', '.TXT'])[doc_id % 4 + 1] AS title, error,
+  CASE WHEN error IS NULL THEN 'en' END AS lang, CASE WHEN error IS NULL THEN len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) END AS words,
+  CASE WHEN error IS NULL THEN md5(t) END AS text_md5
+  FROM (SELECT *, CASE WHEN doc_id % 4 = 2 THEN 'unsupported_type' WHEN length(t) < 20 THEN 'no_text' END AS error FROM (SELECT doc_id, {_TIDY} AS t FROM documents))"""
+O["question_file"] = f"""SELECT CAST(item_id AS VARCHAR) AS id, 'fact' AS type, {ROLE_LIST}[item_id % 6 + 1] AS role, '-' AS doc, md5(text) AS q_md5,
+  left(text, 40) || '|a "quoted" \\ line' || chr(10) AS expect FROM benchmark"""
+
 # Passages: the cuts level by level, then a walk over the lengths with the open window as its state.
 def _cut(sep: str) -> str:
     parts = f"list_filter(list_transform(string_split(p.t, '{sep}'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '{sep}' || x END), lambda x: x <> '')"

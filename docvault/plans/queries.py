@@ -16,9 +16,10 @@ from docvault.plans.ask import add_sessions, ask, search
 from docvault.plans.library import build_library
 from docvault.session import fresh_path, is_small, lookup_join, materialise
 from docvault.sources import audit
+from docvault.sources.library import parse_documents, read_questions
 from docvault.sources.tables import (audit_trail, benchmark_questions, deletion_log, library_documents, request_log, table,
                                      upload_log)
-from docvault.sources.uploads import strip_markup, tidy
+from docvault.sources.uploads import extract, strip_markup, tidy, upload_documents
 from docvault.streaming.admission import rate_limit_stream, upload_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -231,6 +232,43 @@ def superseded_documents(spark, folder):
     return library_documents(spark, folder).filter("status = 'superseded'").select("id", "owner")
 
 
+# ------------------------------------------------------------------ files, made from the tables
+@query
+def library_files(spark, folder):
+    """The documents as library files: headers with repeated, missing and odd lines, parsed again."""
+    number = F.col("doc_id")
+    title = F.when(number % 7 == 0, "").otherwise(F.concat(F.lit("title: Doc: number "), number, F.lit("\n")))
+    opened = F.when(number % 3 == 0, "access: [hr, ghost,legal ]\n").when(number % 3 == 1, "access: hr\n").otherwise("access: [executive]\n")
+    older = F.when(number % 5 == 0, F.concat(F.lit("status: superseded\nsuperseded_by: d"), number + 1, F.lit("\n"))).otherwise("")
+    content = F.concat(F.lit("---\nid: d"), number, F.lit("\n"), title, opened, older, F.lit("lang: xx\nno colon here\n lang : "), "lang", F.lit("\n---\n"), "text")
+    rows = parse_documents(_docs(spark, folder).select(F.concat(F.lit("file."), number, F.lit(".md")).alias("name"), content.alias("content")))
+    counts = [F.coalesce(F.col("pii")[k], F.lit(0)).alias(k) for k in ("email", "card")]
+    return rows.select("id", "title", F.array_join("access", ",").alias("access"), "classification", "lang", "status", "superseded_by", F.md5("text").alias("text_md5"), *counts)
+
+
+@query
+def upload_files(spark, folder):
+    """The documents as uploaded files in two encodings, one of them of a kind that is refused."""
+    turn = F.pmod("doc_id", F.lit(4))
+    name = F.concat(F.lit("f"), "doc_id", F.when(turn == 0, ".txt").when(turn == 1, ".md").when(turn == 2, ".bin").otherwise(".TXT"))
+    content = F.when(turn == 1, F.encode("text", "UTF-16")).otherwise(F.encode("text", "UTF-8"))
+    files = _docs(spark, folder).select(F.concat(F.lit("s"), "doc_id").alias("sid"), name.alias("name"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("created"), content.alias("content"))
+    rows = upload_documents(extract(files))
+    kept = F.col("error").isNull()
+    return rows.select(F.col("coll").alias("sid"), "title", "error", F.when(kept, F.col("lang")).alias("lang"), F.when(kept, F.col("words")).alias("words"),
+                       F.when(kept, F.md5("text")).alias("text_md5"))
+
+
+@query
+def question_file(spark, folder):
+    """The questions as a file of JSON lines, read again."""
+    path = fresh_path(spark, "questions")
+    asked = benchmark_questions(spark, folder).select(F.col("qid").cast("string").alias("id"), F.lit("fact").alias("type"), F.lit("en").alias("lang"), "role", "q",
+                                                      F.array(F.substring("q", 1, 40), F.lit('a "quoted" \\ line\n')).alias("expect"))
+    asked.write.json(path)
+    return read_questions(spark, path).select("id", "type", "role", F.coalesce("doc", F.lit("-")).alias("doc"), F.md5("q").alias("q_md5"), F.array_join("expect", "|").alias("expect"))
+
+
 # ------------------------------------------------------------------ passages
 @query
 def passage_table(spark, folder):
