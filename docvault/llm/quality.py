@@ -6,7 +6,8 @@ well, so that a spoiled part isn't hidden by the rest: a text fails when chunks
 under two chunks of 4,096 bytes are cut into smaller ones, with the limits of texts of that length; a text under two of the
 smallest is one chunk by itself.
 
-A null text is empty, has no words and fails the base rules. Every row is judged alone; repeated rows are judged alike.
+A null text is empty, has no words and fails the base rules. Every row is judged alone; repeated rows are judged alike. A text of
+any length is covered whole by its chunks. An empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ no match of ``seed`` words is left. The covered share of an item's words decides
 The benchmark is taken in blocks of bounded size. A block's seeds go to all tasks, which read each text once per block, so
 no table of pairs is shuffled and no group of equal seeds gathers anywhere. Words are compared with A-Z lower-cased and
 without punctuation at their ends. An item shorter than a seed is one seed as a whole. Null or wordless items and texts
-match nothing. Repeated rows are judged alike; a null id is carried through.
+match nothing. Repeated rows are judged alike; a null id is carried through. Texts are compared whole, whatever their length. An
+empty table on either side gives no row. Only the named columns are read.
 """
 
 from __future__ import annotations

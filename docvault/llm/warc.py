@@ -6,7 +6,8 @@ repeated writes its archive under a new name; only the names in the returned tab
 
 Null payloads are empty. A null id is written as ``-`` and read back as null. Of rows with equal payloads of at least
 ``least`` bytes, those with the largest id are responses; a repeated row of that id is a response as well. Empty tables give
-no archive.
+no archive. A payload of any length is one record. Only the named columns are read. The store has to be one that Arrow's file
+systems can open.
 """
 
 from __future__ import annotations
