@@ -1,6 +1,7 @@
 """The training-data pipeline: each stage works on all that the stage before it kept.
 
-A null id is kept apart from all others; rows that share an id are judged by their own texts. Empty tables pass through.
+A null id is kept apart from all others; rows that share an id are judged by their own texts. Empty tables pass through. Texts of
+any length are worked on whole. Columns beside ``COLUMNS`` don't go beyond the first stage, so none can clash.
 """
 
 from __future__ import annotations
