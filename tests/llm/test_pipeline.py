@@ -17,8 +17,8 @@ from .test_repeats import _brute as _repeats
 def test_registered():
     names = set(__spark_entry__.queries())
     assert set(QUERIES) <= names and "pipeline" in names
-    assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES}) == list(range(1, 11))
-    assert set(__spark_entry__.oracle_sql()) >= {"op1_url_filter", "op2_warc", "op4_suffix_array", "op9_hyperminhash"}
+    assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES}) == list(range(1, 14))
+    assert set(__spark_entry__.oracle_sql()) >= {"op1_url_filter", "op2_warc", "op4_suffix_array", "op9_hyperminhash", "op11_spelling", "op13_collocations"}
 
 
 def test_stages(spark, documents):
