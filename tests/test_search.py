@@ -1,6 +1,8 @@
 import json
 import math
 import os
+import re
+import time
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from docvault import fixed_values as V
 from docvault.operators import blocks, dense, evaluation, evidence, fusion, lexical, lsa, passages, responses, tfidf, verification
 from docvault.plans.ask import add_sessions, ask, search
 from docvault.plans.library import build_library, open_library, save_library
-from docvault.session import lookup_join, shared_folder
+from docvault.session import lookup_join, materialise, shared_folder
 from docvault.sources.library import parse_documents
 from docvault.sources.uploads import extract, upload_documents
 from docvault.streaming.audit_log import answer_stream
@@ -207,6 +209,37 @@ def test_svd_against_numpy(spark, monkeypatch, alphabet, size, sent):
     assert own == pytest.approx(np.divide(exact, norms, out=np.zeros_like(exact), where=norms > 0), abs=1e-5)
 
 
+def test_cells_are_packed(spark):
+    draw = np.random.default_rng(5)
+    cell = np.unique(draw.integers(0, [4096, 300], (20000, 2)), axis=0)
+    w = draw.normal(0, 1, len(cell))
+    raw = blocks.pack_cell(cell[:, 0], cell[:, 1], w)
+    assert len(raw) < 11 * len(w)  # 16 bytes an entry before
+    r, c, back = blocks.unpack_cell(raw)
+    assert sorted(zip(r.tolist(), c.tolist(), back.tolist(), strict=True)) == list(zip(*cell.T.tolist(), w.tolist(), strict=True))
+    assert all(len(x) == 0 for x in blocks.unpack_cell(blocks.pack_cell(*[np.zeros(0)] * 3)))
+
+
+def test_a_fit_leaves_only_the_model(spark):
+    """Neither shuffle files nor tables of the fit stay behind."""
+    rows = spark.createDataFrame([(i, f"some words {i} and {i % 7} more") for i in range(30)], "doc bigint, t string")
+    shared = os.path.join(spark.conf.get("spark.checkpoint.dir"), "docvault")
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {n for f in re.findall(r"shuffle_(\d+)_", disk.getAllFiles().mkString(" ")) for n in [int(f)]}
+
+    before, tables = shuffles(), set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    moved = materialise(rows.repartition(3, "doc"), "moved")
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before and moved.count() == 30
+    lsa.fit(rows, ["doc"], F.col("t"), components=2, rounds=1)
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(shared)) - tables} == {"moved", "lsa-model", "lsa-vectors"}
+
+
 def test_full_rank_vectors_equal_tfidf_cosines(spark, lib):
     """With as many components as the library allows, reduced and full-rank search agree on the best passage.
 
