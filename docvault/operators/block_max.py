@@ -43,14 +43,18 @@ def part(tf: Column, length: Column, mean_length: Column) -> Column:
     return tf * (V.BM25_K1 + 1) / (tf + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * length / mean_length))
 
 
-def block_postings(counted: DataFrame, stats: DataFrame) -> DataFrame:
+def block_postings(counted: DataFrame, stats: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Blocks (coll, term, range, top, masks, passages, postings) in term order. ``stats`` has one row a collection.
 
+    With ``terms``, only blocks of the terms that some question asks for: all that a search of this one batch reads.
+
     A block's postings are at most ``RANGE`` of each collection. Dealing by term and range serves both the grouping and the
     order, so postings move once.
     """
     rows = counted.join(F.broadcast(stats) if is_small(stats) else stats, "coll")
     rows = rows.select(*PASSAGE, "mask", "superseded", "length", "mean_length", "range", F.explode("counts").alias("c"))
+    if terms is not None:
+        rows = only_terms(rows.withColumn("term", F.col("c.term")), terms)
     rows = rows.select("coll", F.col("c.term").alias("term"), "range", "mask", part(F.col("c.tf"), F.col("length"), F.col("mean_length")).alias("part"),
                        F.struct("doc", "n", "mask", "superseded", part(F.col("c.tf"), F.col("length"), F.col("mean_length")).alias("part")).alias("posting"))
     dealt = rows.repartitionByRange("term", "range")

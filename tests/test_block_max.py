@@ -50,6 +50,15 @@ def test_rarity_is_that_of_the_collection(spark):
     assert block_max.rarity(blocks, stats).exceptAll(want).count() == 0 and want.count() > 0
 
 
+def test_blocks_of_asked_terms_give_the_same_search(spark):
+    index, terms = _index(spark, 7), _questions(spark, 7)
+    stats, counted = lexical.collection_stats(index), block_max.counted_index(index)
+    every, asked = block_max.block_postings(counted, stats).cache(), block_max.block_postings(counted, stats, terms).cache()
+    assert 0 < asked.count() < every.count() and asked.select("term").distinct().join(terms, "term", "left_anti").count() == 0
+    found = [{tuple(r) for r in block_max.BlockSearch(b, block_max.rarity(b, stats), terms, 5).top().collect()} for b in (every, asked)]
+    assert found[0] == found[1] != set()
+
+
 def test_nothing_found(spark):
     index = _index(spark, 6)
     stats = lexical.collection_stats(index)
