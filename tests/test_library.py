@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docvault import fixed_values as V
 from docvault.operators import access, passages, validation
-from docvault.sources import audit, library, uploads
+from docvault.sources import audit, library, tables, uploads
 
 POLICY = """---
 id: leave
@@ -196,3 +196,20 @@ def test_validation(spark):
         None, "question must be 2-400 characters", "invalid role", "invalid session id", None]
     ids = spark.createDataFrame([("../etc", "hr", None), ("leave_ar", "hr", None)], "doc_id string, role string, sid string")
     assert [r.error for r in validation.check_reads(ids).collect()] == ["invalid document id", None]
+
+
+def test_one_large_row_group_uses_every_core(spark, tmp_path):
+    """A file that is cut into many splits, but holds one row group, would be read by a single task."""
+    path = str(tmp_path / "documents.parquet")
+    spark.range(0, 20_000, 1, 1).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text")).write.parquet(path)
+    sizes = {"spark.sql.files.maxPartitionBytes": "20k", "spark.sql.files.openCostInBytes": "1k"}
+    for key, value in sizes.items():
+        spark.conf.set(key, value)
+    try:
+        assert spark.read.parquet(path).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        rows = tables.table(spark, str(tmp_path), "documents")
+        counts = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("text").alias("n")).collect()]
+    finally:
+        for key in sizes:
+            spark.conf.unset(key)
+    assert sum(counts) == 20_000 and max(counts) * spark.sparkContext.defaultParallelism <= 2 * 20_000
