@@ -30,6 +30,7 @@ SENTENCE_PENALTY = 2        # ids of padding that a cut at the end of a sentence
 INSIDE_PENALTY = 20         # the same inside a sentence
 STEP = 16
 BLOCK_IDS = 500_000         # ids packed together
+RUN_BYTES = 1 << 20         # text encoded together
 FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -137,7 +138,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "
 
         for batch in W.slices(batches):
             keys = batch.column(0).to_pylist()
-            for low, found, before, raw, starts, piece_ids in encoder(tokenizer).documents(batch.column(1)):
+            for low, found, before, raw, starts, piece_ids in encoder(tokenizer).documents(batch.column(1), RUN_BYTES):
                 n = len(before) - 1
                 size = np.diff(before) + 1
                 own_ends = np.cumsum(size)

@@ -19,7 +19,7 @@ from docvault.llm import words as W
 
 KNOWN_IDS = 4_000_000       # ids held for known pieces, per worker
 KNOWN_PIECES = 1_200_000    # pieces held
-_SLOTS = 22                 # two to this power: slots of the look-up table
+_LEAST_SLOTS = 16           # two to this power: slots of the look-up table at first
 CHUNK_BYTES = 4 << 20
 
 
@@ -70,13 +70,25 @@ def expand(at: np.ndarray, lengths: np.ndarray, pool: np.ndarray) -> np.ndarray:
 
 
 class Known:
-    """A table from 64-bit hashes to numbers in two flat arrays; all look-ups of a text's pieces go together."""
+    """A table from 64-bit hashes to numbers in two flat arrays, at most half full; all look-ups of a text's pieces go together."""
 
     def __init__(self):
-        self.keys, self.numbers = np.zeros(1 << _SLOTS, np.uint64), np.zeros(1 << _SLOTS, np.int32)
+        self._empty(_LEAST_SLOTS)
+
+    def _empty(self, bits: int) -> None:
+        self.bits, self.count = bits, 0
+        self.keys, self.numbers = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def _grow(self, room: int) -> None:
+        """Make place for so many keys; those that are there move."""
+        if 2 * room > len(self.keys):
+            full = np.flatnonzero(self.keys)
+            keys, numbers = self.keys[full], self.numbers[full]
+            self._empty((2 * room - 1).bit_length())
+            self.add(keys, numbers)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Number of each key, or -1."""
@@ -86,18 +98,20 @@ class Known:
             hit = met == keys[open_]
             out[open_[hit]] = self.numbers[slot[open_[hit]]]
             open_ = open_[~hit & (met != 0)]
-            slot[open_] = (slot[open_] + 1) & ((1 << _SLOTS) - 1)
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
         return out
 
     def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
         """Distinct keys that aren't there yet."""
+        self._grow(self.count + len(keys))
+        self.count += len(keys)
         open_, slot = np.arange(len(keys)), self._slot(keys)
         while len(open_):
             free = open_[self.keys[slot[open_]] == 0]
             first = free[np.unique(slot[free], return_index=True)[1]]
             self.keys[slot[first]], self.numbers[slot[first]] = keys[first], numbers[first]
             open_ = open_[self.keys[slot[open_]] != keys[open_]]
-            slot[open_] = (slot[open_] + 1) & ((1 << _SLOTS) - 1)
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
 
 
 class Encoder:
@@ -166,10 +180,13 @@ class Encoder:
         np.cumsum(lengths, out=before[1:])
         return expand(self.at[of].astype(np.int64), lengths, self.pool), starts, before
 
-    def documents(self, column):
-        """For runs of documents: first document, ids, ids before each document (len + 1), raw bytes, piece starts, ids before pieces."""
+    def documents(self, column, most: int = CHUNK_BYTES):
+        """For runs of documents: first document, ids, ids before each document (len + 1), raw bytes, piece starts, ids before pieces.
+
+        A run has about ``most`` bytes, and the arrays of a run several times as many.
+        """
         raw, offsets = W.utf8(column)
-        for low, high in W.chunks(offsets, CHUNK_BYTES):
+        for low, high in W.chunks(offsets, most):
             part, own = raw[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
             ids, starts, before = self.encode(part, own)
             yield low, ids, before[np.searchsorted(starts, own)], part, starts, before

@@ -163,3 +163,16 @@ def test_a_path_that_only_spark_settles(spark, documents):
     shards = token_files.write_tokens(documents, bare, WORD, 2)
     assert token_files.read_tokens(spark, shards, bare).count() == documents.count()
     assert all(r.path.startswith("/") for r in shards.collect())
+
+
+def test_known_pieces_take_the_room_they_need():
+    import numpy as np
+    from docvault.llm.pieces import Known
+    known, rng = Known(), np.random.default_rng(5)
+    assert len(known.keys) <= 1 << 16
+    keys = np.unique(rng.integers(1, 1 << 63, 150_000, dtype=np.uint64))
+    for low in range(0, len(keys), 40_000):
+        part = keys[low:low + 40_000]
+        known.add(part, np.arange(low, low + len(part)))
+    assert (known.find(keys) == np.arange(len(keys))).all() and (known.find(keys + np.uint64(1 << 63)) == -1).all()
+    assert 2 * len(keys) <= len(known.keys) <= 8 * len(keys)
