@@ -57,6 +57,66 @@ def test_streamed_state_is_carried_between_batches(spark, tmp_path):
     assert got == brute(rows, {"GET": 4, "POST": 2}, 60)
 
 
+def _in_turn(spark, parts, verdicts, name, tmp_path):
+    """Verdicts of a stream that takes one part after the other, and the progress of its micro-batches."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = verdicts(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return {r.event_id: r.admitted for r in spark.table(name).collect()}, q.recentProgress
+
+
+def test_keys_share_groups_and_state(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, f"k{rng.randint(0, 299)}", rng.choice(["GET", "POST"]), 1_700_000_000 + rng.randint(0, 300)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "event_id bigint, client string, method string, t bigint").withColumn("ts", F.timestamp_seconds("t"))
+    parts = [df.filter(f"t < {1_700_000_150}").drop("t"), df.filter(f"t >= {1_700_000_150}").drop("t")]
+    got, progress = _in_turn(spark, parts, lambda s: admission.rate_limit_stream(s, 2, 1, 60, "1 hour", buckets=8), "shared", tmp_path)
+    assert got == brute(rows, {"GET": 2, "POST": 1}, 60) and not all(got.values())
+    assert 1 <= max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 8
+
+
+def test_keys_of_a_busy_bucket_are_forgotten(spark, tmp_path):
+    df = lambda k, keys: spark.range(len(keys)).select(
+        (F.col("id") + 1000 * k).alias("event_id"), F.element_at(F.array(*map(F.lit, keys)), (F.col("id") + 1).cast("int")).alias("client"), F.lit("GET").alias("method"),
+        F.timestamp_seconds(F.lit(1_700_000_000 + 1000 * k)).alias("ts"))
+    parts = [df(0, [f"gone{i}" for i in range(500)])] + [df(k, ["stays"]) for k in range(1, 5)]
+    _, progress = _in_turn(spark, parts, lambda s: admission.rate_limit_stream(s, 2, 1, 60, "1 second", buckets=1), "forgotten", tmp_path)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress]
+    assert max(held) == 1
+    states = spark.read.format("statestore").load(str(tmp_path / "cp")).select("value.*").collect()
+    assert all("gone" not in str(r) for r in states)
+
+
+def test_streams_do_not_depend_on_the_time_zone(spark, tmp_path):
+    # An hour that New York's clocks show twice.
+    rows = [(i, "a", "GET", 1_730_611_800 + 600 * i) for i in range(14)]
+    df = spark.createDataFrame(rows, "event_id bigint, client string, method string, t bigint").withColumn("ts", F.timestamp_seconds("t"))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got, _ = _in_turn(spark, [df.filter("event_id < 7").drop("t"), df.filter("event_id >= 7").drop("t")],
+                          lambda s: admission.rate_limit_stream(s, 2, 1, 1800, "1 hour"), "clocks", tmp_path)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == brute(rows, {"GET": 2, "POST": 1}, 1800) and not all(got.values())
+
+
+def test_upload_sessions_share_groups(spark, tmp_path):
+    rng = random.Random(9)
+    ups = [(i, f"s{rng.randint(0, 99)}", f"up_{i}", at(rng.uniform(0, 200))) for i in range(900)]
+    gone = [(None, u[1], u[2], u[3] + timedelta(minutes=rng.uniform(-5, 40))) for u in ups if rng.random() < 0.5]
+    both = spark.createDataFrame(ups + gone, "event_id bigint, sid string, id string, ts timestamp")
+    uploads, deletions = both.filter("event_id is not null").withColumnRenamed("ts", "created"), both.filter("event_id is null").drop("event_id")
+    want = {r.event_id: r.admitted for r in sessions.accepted_uploads(uploads, deletions, 2, 1800).collect()}
+    parts = [both.filter(F.col("ts") < at(90)), both.filter(F.col("ts") >= at(90))]
+    got, progress = _in_turn(spark, parts, lambda s: admission.upload_stream(
+        s.filter("event_id is not null").withColumnRenamed("ts", "created"), 2, 1800, "5 hours", s.filter("event_id is null").drop("event_id"), buckets=8), "sessions", tmp_path)
+    assert got == want and not all(want.values())
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 8
+
+
 def test_streamed_uploads_with_deletions(spark, tmp_path):
     rng = random.Random(7)
     ups = [(i, f"s{rng.randint(0, 3)}", f"up_{i}", at(rng.uniform(0, 200))) for i in range(120)]
