@@ -57,21 +57,27 @@ def repair(symbols: np.ndarray, last: np.ndarray, terminals: int) -> tuple[np.nd
     while len(symbols) > 1 and count < SYMBOLS:
         room = max((SYMBOLS - count) // 2, 1)   # symbols are left for pairs of new symbols
         key = (symbols[:-1] << np.uint32(16)) | symbols[1:]
-        free = ~last[:-1]
-        chosen = _frequent(key[free], room)
+        slot = ((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOTS)).astype(np.intp)
+        # The pairs of a slot are at least as many as those of each key in it, so most rare pairs need not be sorted.
+        slot[last[:-1]] = 1 << _SLOTS
+        often = np.bincount(slot, minlength=(1 << _SLOTS) + 1) >= LEAST_COUNT
+        often[-1] = False
+        some = np.flatnonzero(often.take(slot))
+        key, slot = key.take(some), slot.take(some)
+        chosen = _frequent(key, room)
         if not len(chosen):
             break
         # Pairs that meet in a slot of the look-up table wait for the next round, the more frequent goes first.
-        slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOTS)
         slots = (chosen * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOTS)
         _, one = np.unique(slots, return_index=True)
         chosen, slots = chosen[np.sort(one)], slots[np.sort(one)]
-        table, rank = np.zeros(1 << _SLOTS, np.uint32), np.full(1 << _SLOTS, len(chosen), np.int32)
+        table, rank = np.zeros(1 << _SLOTS, np.uint32), np.empty(1 << _SLOTS, np.int32)
+        table[0] = 1            # key 0 is the one that an empty slot 0 would seem to hold; key 1 has another slot
         table[slots], rank[slots] = chosen, np.arange(len(chosen))
-        found = np.flatnonzero((table[slot] == key) & free & (rank[slot] < len(chosen)))
+        hit = np.flatnonzero(table.take(slot) == key)
+        found, own = some.take(hit), rank.take(slot.take(hit))
         if not len(found):
             break
-        own = rank[slot[found]]
         near = np.diff(found) == 1
         before, after = np.full(len(found), len(chosen), np.int32), np.full(len(found), len(chosen), np.int32)
         before[1:][near], after[:-1][near] = own[:-1][near], own[1:][near]
@@ -90,7 +96,8 @@ def repair(symbols: np.ndarray, last: np.ndarray, terminals: int) -> tuple[np.nd
         last[at] = last[at + 1]
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
-        symbols, last = symbols[stay], last[stay]
+        stay = np.flatnonzero(stay)
+        symbols, last = symbols.take(stay), last.take(stay)
         left.append(chosen[keep] >> np.uint32(16))
         right.append(chosen[keep] & np.uint32(0xFFFF))
         count += int(keep.sum())
@@ -100,7 +107,10 @@ def repair(symbols: np.ndarray, last: np.ndarray, terminals: int) -> tuple[np.nd
 
 def pack(doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> bytes:
     """One shard: a JSON line that names the arrays, then the arrays. ``sizes`` counts each document's ids."""
-    known, symbols = np.unique(ids, return_inverse=True)
+    known = np.flatnonzero(np.bincount(ids))
+    number = np.zeros(int(known[-1]) + 1, np.uint32)
+    number[known] = np.arange(len(known))
+    symbols = number[ids]
     if len(known) > SYMBOLS:
         raise ValueError("more kinds of ids than symbols; use smaller shards")
     last = np.zeros(len(ids), bool)

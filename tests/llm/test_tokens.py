@@ -56,6 +56,16 @@ def test_grammar_round_trip():
     assert len(token_files.Shard(token_files.pack([1], np.zeros(500, np.int32), np.array([500]))).symbols) < 100
 
 
+def test_only_pairs_that_may_be_frequent_are_sorted(monkeypatch):
+    sorted_, frequent = [], token_files._frequent
+    monkeypatch.setattr(token_files, "_frequent", lambda key, room: sorted_.append(len(key)) or frequent(key, room))
+    draw = np.random.default_rng(6)
+    ids = np.concatenate([draw.permutation(40_000), np.tile([0, 0, 1], 500)]).astype(np.int32)
+    shard = token_files.Shard(token_files.pack([1], ids, np.array([len(ids)])))
+    assert shard.documents(0, 1).tolist() == ids.tolist() and len(shard.symbols) < 40_200
+    assert max(sorted_) < 5_000
+
+
 def test_shards_hold_all_documents_in_order(spark, documents, odd, none):
     for docs in (documents, odd):
         rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
