@@ -17,17 +17,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docvault.operators.dense import BLOCK_QUESTIONS, Best
+from docvault.operators.dense import BLOCK_QUESTIONS, Best, matrix, question_blocks, result_type, whole
 from docvault.operators.ranking import top_per_question
-from docvault.session import fresh_path, materialise
+from docvault.session import _shuffles_go, fresh_path, materialise
 
 SAMPLE = 20_000             # vectors that the centres are fitted on
 MOST_CELLS = 1024
 ROUNDS = 8
 FIRST_CELLS = 4             # cells of each question that are searched for a floor
+MOST_BOUNDS = 1 << 22       # questions of a block times cells
 SLACK = 2e-6                # scores are rounded to six decimals
 
 
@@ -86,47 +88,32 @@ def build_cells(vectors: DataFrame, cells: int) -> Cells:
 class _CellBest(Best):
     """``Best`` over the cells that are open to a question."""
 
-    def __init__(self, questions: pd.DataFrame, n: int, open_: np.ndarray):
-        super().__init__(questions, n)
+    def __init__(self, questions: pa.Table, n: int, open_: np.ndarray, floor: np.ndarray):
+        super().__init__(questions, n, floor)
         self.open = open_
 
-    def add(self, batch: pd.DataFrame) -> None:
-        for cell, rows in batch.groupby("cell", sort=False):
-            asked = np.flatnonzero(self.open[:, cell])
-            if not len(asked):
-                continue
-            vectors = np.stack(rows["vec"].to_numpy()).astype(np.float64)
-            masks, codes = rows["mask"].to_numpy(np.int64), rows["coll"].map(self.codes).fillna(-1).to_numpy(np.int64)
-            for low in range(0, len(asked), 512):
-                own = asked[low:low + 512]
-                sims = np.round(vectors @ self.matrix[own].T, 6)
-                ok = ((masks[:, None] & self.bits[None, own]) != 0) & (codes[:, None] == self.colls[None, own])
-                row, col = np.nonzero(ok & (sims >= self.floor[None, own]))
-                if len(row):
-                    self.held.append(rows.iloc[row][["coll", "doc", "n", "superseded"]].assign(question=own[col], dense=sims[row, col]))
-                    self.rows += len(row)
-                    if self.rows > self.most:
-                        self._cut()
-
-
-def _search(cells: Cells, block: pd.DataFrame, open_: np.ndarray, n: int, qid: str) -> DataFrame:
-    """Best ``n`` of each question of a block among its open cells."""
+    def groups(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for rows, (coll, mask, cell) in self._alike(batch, batch.column("cell").to_numpy()):
+            asked = self._readers(coll, mask)
+            yield rows, asked[self.open[asked, cell]]
+
+
+def _search(cells: Cells, block: pa.Table, open_: np.ndarray, floor: np.ndarray, n: int, out: str) -> DataFrame:
+    """Best ``n`` of each question of a block among its open cells; the ``n``-th best is known to reach ``floor``."""
     spark = cells.vectors.sparkSession
     wanted = np.flatnonzero(open_.any(axis=0)).tolist()
-    sent = spark.sparkContext.broadcast((block, open_))
+    sent = spark.sparkContext.broadcast((block, open_, floor))
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, allowed = sent.value
-        best = _CellBest(own, n, allowed)
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, allowed, least = sent.value
+        best = _CellBest(own, n, allowed, least)
         for batch in batches:
             if len(batch):
                 best.add(batch)
-        yield best.result()
+        yield from best.result()
 
-    doc = cells.vectors.schema["doc"].dataType.simpleString()
     some = cells.vectors.filter(F.col("cell").isin(wanted) if wanted else F.lit(False))
-    found = some.mapInPandas(local, f"qid {qid}, coll string, doc {doc}, n int, superseded boolean, dense double")
-    return top_per_question(found, "dense", n, ["qid", "coll"])
+    return top_per_question(some.mapInArrow(local, out), "dense", n, ["qid", "coll"])
 
 
 def pruned_top(cells: Cells, questions: DataFrame, n: int, block: int = BLOCK_QUESTIONS, first_cells: int = FIRST_CELLS) -> tuple[DataFrame, DataFrame]:
@@ -136,19 +123,19 @@ def pruned_top(cells: Cells, questions: DataFrame, n: int, block: int = BLOCK_QU
     """
     spark = questions.sparkSession
     asked = questions.select("qid", "bit", "coll", "qvec")
-    qid = asked.schema["qid"].dataType.simpleString()
+    out, qid = result_type(asked, cells.vectors), asked.schema["qid"].dataType.simpleString()
     # At most MOST_CELLS rows for the library and each live session.
     summary = cells.summary.filter(F.col("coll").isin([r["coll"] for r in asked.select("coll").distinct().limit(1024).collect()])).toPandas()
-    blocks = max(1, -(-asked.count() // block))
     top_path, work_path = fresh_path(spark, "pruned"), fresh_path(spark, "met-cells")
-    for number in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("qid", "coll"), F.lit(blocks)) == number).toPandas()
+    for rows in question_blocks(asked, min(block, max(1, MOST_BOUNDS // max(1, len(cells.centres))))):
+        part = rows.toArrow()
+        colls = np.array(part["coll"].to_pylist(), object)
         bound = np.full((len(part), len(cells.centres)), -np.inf)
         if len(part) and len(cells.centres):
-            q = np.stack(part["qvec"].to_numpy()).astype(np.float64)
-            products, size, bits = q @ cells.centres.T, np.linalg.norm(q, axis=1), part["bit"].to_numpy(np.int64)
+            q, bits = matrix(part["qvec"]), whole(part["bit"])
+            products, size = q @ cells.centres.T, np.linalg.norm(q, axis=1)
             for coll, own in summary.groupby("coll"):
-                of = np.flatnonzero((part["coll"] == coll).to_numpy())
+                of = np.flatnonzero(colls == coll)
                 at = own["cell"].to_numpy()
                 some = products[np.ix_(of, at)] + size[of, None] * own["radius"].to_numpy()
                 bound[np.ix_(of, at)] = np.where((bits[of, None] & own["masks"].to_numpy(np.int64)) != 0, some, -np.inf)
@@ -158,12 +145,14 @@ def pruned_top(cells: Cells, questions: DataFrame, n: int, block: int = BLOCK_QU
             best = np.argpartition(-bound, first_cells - 1, axis=1)[:, :first_cells]
             first = np.zeros_like(there)
             np.put_along_axis(first, best, True, axis=1)
-            tried = _search(cells, part, first & there, n, qid)
-            floors = tried.filter(F.col("rank") == n - 1).select("qid", "coll", "dense").toPandas()  # at most one row a question
-            known = {(q, c): d for q, c, d in floors.itertuples(index=False)}
-            floor = np.array([known.get(k, -np.inf) for k in part[["qid", "coll"]].itertuples(index=False, name=None)])
+            tried = _search(cells, part, first & there, floor, n, out)
+            with _shuffles_go(spark):
+                floors = tried.filter(F.col("rank") == n - 1).select("qid", "coll", "dense").toArrow()  # at most one row a question
+            known = dict(zip(zip(floors["qid"].to_pylist(), floors["coll"].to_pylist(), strict=True), floors["dense"].to_pylist(), strict=True))
+            floor = np.array([known.get(k, -np.inf) for k in zip(part["qid"].to_pylist(), colls, strict=True)])
             open_ = there & (bound + SLACK >= floor[:, None])
-        _search(cells, part, open_, n, qid).write.mode("append").parquet(top_path)
-        work = pd.DataFrame({"qid": part["qid"], "coll": part["coll"], "cells": there.sum(axis=1), "met_cells": open_.sum(axis=1)})
+        with _shuffles_go(spark):
+            _search(cells, part, open_, floor, n, out).write.mode("append").parquet(top_path)
+        work = pd.DataFrame({"qid": part["qid"].to_pandas(), "coll": colls, "cells": there.sum(axis=1), "met_cells": open_.sum(axis=1)})
         spark.createDataFrame(work, f"qid {qid}, coll string, cells long, met_cells long").write.mode("append").parquet(work_path)
     return spark.read.parquet(top_path), spark.read.parquet(work_path)
