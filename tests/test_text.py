@@ -83,3 +83,11 @@ def test_expansion_both_ways(spark):
     en, ar = [r.x for r in df.select(glossary.expansion("t").alias("x")).collect()]
     assert "اجاز" in en and "vacation" in en and "leave" not in en
     assert "board" in ar
+
+
+def test_token_pattern_tries_no_shorter_runs(spark):
+    draw = random.Random(5)
+    rows = [("".join(draw.choice("abZ \u0130\u212a19\u0663.,%\u0639\u0644\u064b_-é") for _ in range(draw.randrange(40))),) for _ in range(3000)]
+    low = spark.createDataFrame([*rows, ("a" * 5000 + "1",), ("",), (None,)], "t string").select(F.lower("t").alias("t"))
+    both = low.select(F.regexp_extract_all("t", F.lit(V.TOKEN), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(T._TOKEN), F.lit(0)).alias("b"))
+    assert both.filter("not (a <=> b)").isEmpty() and both.filter("size(a) > 3").count() > 1000
